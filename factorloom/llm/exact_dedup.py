@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import texts
+from factorloom.llm.common import stored, texts
 
 
 def exact_duplicates(docs: DataFrame, prefix_chars: int = 128) -> DataFrame:
@@ -13,8 +13,8 @@ def exact_duplicates(docs: DataFrame, prefix_chars: int = 128) -> DataFrame:
 
     Documents are grouped by byte length, those that share a length by the hash
     of a prefix, and those that share both by the SHA-256 of the whole text.
-    Counts are combined before each shuffle and brought back by joins, whose
-    hot keys Spark can split; text itself is never shuffled.
+    Counts are combined before each shuffle, stored, and brought back by joins,
+    whose hot keys Spark can split; text itself is never shuffled.
 
     Returns doc_id, keep_id (largest doc_id of the group), group_size, kept,
     text_sha256. A null text counts as an empty one, and empty texts are equal
@@ -23,11 +23,11 @@ def exact_duplicates(docs: DataFrame, prefix_chars: int = 128) -> DataFrame:
     columns beyond doc_id and text are not read.
     """
     base = texts(docs).withColumn("n_bytes", F.octet_length("text"))
-    sizes = base.groupBy("n_bytes").agg(F.count("*").alias("n")).filter("n > 1").select("n_bytes")
+    sizes = stored(base.groupBy("n_bytes").agg(F.count("*").alias("n")).filter("n > 1").select("n_bytes"), "sizes")
     by_prefix = base.select("n_bytes", F.xxhash64(F.substring("text", 1, prefix_chars)).alias("prefix"))
-    prefixes = by_prefix.join(sizes, "n_bytes", "left_semi").groupBy("n_bytes", "prefix").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    prefixes = stored(by_prefix.join(sizes, "n_bytes", "left_semi").groupBy("n_bytes", "prefix").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "prefixes")
     hashed = base.select("doc_id", "n_bytes", F.xxhash64(F.substring("text", 1, prefix_chars)).alias("prefix"), F.sha2("text", 256).alias("text_sha256"))
-    groups = hashed.join(prefixes, ["n_bytes", "prefix"], "left_semi").groupBy("text_sha256").agg(F.max("doc_id").alias("keep"), F.count("*").alias("n"))
+    groups = stored(hashed.join(prefixes, ["n_bytes", "prefix"], "left_semi").groupBy("text_sha256").agg(F.max("doc_id").alias("keep"), F.count("*").alias("n")), "groups")
     keep_id = F.coalesce("keep", "doc_id")
     return hashed.select("doc_id", "text_sha256").join(groups, "text_sha256", "left").select(
         "doc_id", keep_id.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), (F.col("doc_id") == keep_id).alias("kept"), "text_sha256"
