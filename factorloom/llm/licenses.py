@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,15 +88,16 @@ def _phrase_starts(array: Column, phrase: str) -> Column:
 def phrase_places(docs: DataFrame, phrases: Mapping[str, str] = PHRASES) -> DataFrame:
     """Per document doc_id, n_words and `places`, an array of (start, label), start being the number of words before the phrase.
 
-    Texts without any of the phrases, found by one pattern, are not cut further
-    than to count their words.
+    Only texts that hold all words of a phrase, and then the phrase by a pattern,
+    are searched word by word.
     """
     pattern = "|".join("(?<!" + _WORD + ")" + _GAP.join(p.split()) + "(?!" + _WORD + ")" for p in phrases)
+    here = reduce(or_, (reduce(and_, (F.contains("low", F.lit(w)) for w in p.split())) for p in phrases))
     cut = texts(docs).select("doc_id", lower_ascii(F.col("text")).alias("low"), words(F.col("text")).alias("w"))
     labelled = lambda starts, label: F.transform(starts, lambda i: F.struct(i.alias("start"), F.lit(label).alias("label")))
     places = F.concat(*[labelled(_phrase_starts(F.col("w"), p), label) for p, label in phrases.items()])
     none = F.array().cast("array<struct<start:int,label:string>>")
-    return cut.select("doc_id", F.size("w").alias("n_words"), F.when(F.col("low").rlike(pattern), places).otherwise(none).alias("places"))
+    return cut.select("doc_id", F.size("w").alias("n_words"), F.when(here & F.col("low").rlike(pattern), places).otherwise(none).alias("places"))
 
 
 def license_scan(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, templates: Mapping[str, str] = TEMPLATES, threshold: float = 0.8) -> DataFrame:

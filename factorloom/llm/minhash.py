@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import LOWER, UPPER, stored, texts
+from factorloom.llm.common import stored, texts
 from factorloom.llm.components import components
 from factorloom.llm.tokens import small_parts
 
@@ -29,7 +29,6 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 6
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_LOWER = str.maketrans(UPPER, LOWER)
 _known: dict[str, int] = {}
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -45,7 +44,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def word_hashes(text: str) -> np.ndarray:
     """A 64-bit hash of each word, A-Z in lower case."""
-    words = _WORD.findall(text.translate(_LOWER) if not text.isascii() else text.lower())
+    words = _WORD.findall(text.encode("utf-8", "replace").lower().decode())  # of bytes, ASCII letters alone change
     if len(_known) > 300_000:
         _known.clear()
     for w in [w for w in words if w not in _known]:
@@ -64,44 +63,48 @@ def shingles(words: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.nda
     return np.unique(h, return_counts=True)
 
 
-def dart_minhash(elements: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
-    """The identity of the earliest dart of each of k coordinates."""
-    first, second = [], []  # of each region of each strip: its element's hash, and how far the strip reaches into it
-    widths = []
-    low, high = 0.0, 1.0
-    live = np.arange(len(elements))
+def dart_minhash(sets: list[tuple[np.ndarray, np.ndarray]], k: int) -> np.ndarray:
+    """For each weighted set (elements' hashes, weights), none empty, the identities of the earliest darts of k coordinates."""
+    owner = np.repeat(np.arange(len(sets)), [len(e) for e, _ in sets])
+    elements, weights = np.concatenate([e for e, _ in sets]), np.concatenate([w for _, w in sets]).astype(float)
+    until = (np.log(k) + 2) * k / np.bincount(owner, weights, len(sets))
+    out, todo = np.zeros((len(sets), k), np.uint64), np.arange(len(sets))
+    while len(todo):
+        mine = np.isin(owner, todo) if len(todo) < len(sets) else slice(None)
+        best, name = _earliest(owner[mine], elements[mine], weights[mine], until, len(sets), k)
+        out[todo] = name[todo]
+        todo = todo[np.isinf(best[todo]).any(axis=1)]
+        until[todo] *= 2  # some coordinate has no dart yet
+    return out
+
+
+def _earliest(owner: np.ndarray, elements: np.ndarray, weights: np.ndarray, until: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rank and identity of the first dart of every set and coordinate, of the darts that come before the set's `until`."""
+    parts = []  # of each region of each strip: its owner, its hash, how far the strip reaches into it, its width
+    low, high, live = 0, 1, np.arange(len(elements))
     while len(live):
-        first.append(mix(elements[live] + np.uint64(int(low * 2)) * _GOLD))
-        second.append(np.minimum(weights[live], high) - low)
-        widths.append(np.full(len(live), high - low))
+        parts.append((owner[live], mix(elements[live] + np.array([low * 2], np.uint64) * _GOLD), np.minimum(weights[live], high) - low, np.full(len(live), float(high - low))))
         live = live[weights[live] > high]
         low, high = high, high * 2
-    seed, reach, width = map(np.concatenate, (first, second, widths))
-    until = (np.log(k) + 2) * k / weights.sum()
-    while True:
-        rank, name, coordinate = _throw(seed, reach, width, until, k)
-        order = np.lexsort((name, rank))
-        where, at = np.unique(coordinate[order], return_index=True)
-        if len(where) == k:
-            return name[order][at]
-        until *= 2
-
-
-def _throw(seed: np.ndarray, reach: np.ndarray, width: np.ndarray, until: float, k: int) -> tuple[np.ndarray, ...]:
-    """rank, identity and coordinate of the darts that come before `until` and hit the weight in their region."""
-    time, live, out, n = np.zeros(len(seed)), np.arange(len(seed)), [], 0
+    doc, seed, reach, width = map(np.concatenate, zip(*parts, strict=True))
+    limit, time, step, thrown = until[doc], np.zeros(len(seed)), np.zeros(1, np.uint64), []
     unit = 1 / float(1 << 53)
-    while len(live):
-        n += 1
-        x = mix(seed[live] + np.uint64(n) * _GOLD)
-        time[live] -= np.log(((x >> np.uint64(11)).astype(float) + 0.5) * unit) / width[live]
-        soon = time[live] < until
-        live, x = live[soon], x[soon]
+    while len(seed):
+        step = step + _GOLD
+        x = mix(seed + step)
+        time = time - np.log(((x >> np.uint64(11)) + 0.5) * unit) / width
+        soon = time < limit
+        doc, seed, reach, width, limit, time, x = (v[soon] for v in (doc, seed, reach, width, limit, time, x))
         place = mix(x ^ _M2)
-        hit = (place >> np.uint64(11)).astype(float) * unit * width[live] < reach[live]
-        name = mix(x[hit] + _M1)
-        out.append((time[live][hit], name, name % np.uint64(k)))
-    return tuple(map(np.concatenate, zip(*out, strict=True)))
+        hit = (place >> np.uint64(11)) * unit * width < reach
+        thrown.append((doc[hit], time[hit], mix(x[hit] + _M1)))
+    doc, rank, dart = map(np.concatenate, zip(*thrown, strict=True))
+    at = doc * k + (dart % np.uint64(k)).astype(np.int64)
+    best, name = np.full(n * k, np.inf), np.full(n * k, np.iinfo(np.uint64).max, np.uint64)
+    np.minimum.at(best, at, rank)
+    first = rank == best[at]
+    np.minimum.at(name, at[first], dart[first])
+    return best.reshape(n, k), name.reshape(n, k)
 
 
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
@@ -113,19 +116,20 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = np.arange(1, bands + 1, dtype=np.uint64) * _GOLD
         for b in small_parts(batches):
-            out = []
-            for text in b.column("text").to_pylist():
-                s, counts = shingles(word_hashes(text), size)
-                if not len(s):
-                    out.append((b"t" + xxhash.xxh3_128_digest(text.encode("utf-8", "replace")), [], b""))
-                    continue
-                dart = dart_minhash(s, 1 + np.log(counts), bands * rows).reshape(bands, rows)
+            held = b.column("text").to_pylist()
+            sets = [shingles(word_hashes(t), size) for t in held]
+            some = [k for k, (s, _) in enumerate(sets) if len(s)]
+            bands_of: list[list[int]] = [[] for _ in held]
+            if some:
+                darts = dart_minhash([(sets[k][0], 1 + np.log(sets[k][1])) for k in some], bands * rows).reshape(len(some), bands, rows)
                 h = salt
                 for r in range(rows):
-                    h = mix(h + dart[:, r])
-                out.append((b"s" + xxhash.xxh3_128_digest(s.tobytes()), h.view(np.int64).tolist(), np.unique((s >> np.uint64(32)).astype("<u4")).tobytes()))
-            same, hashes, sets = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(same, pa.binary()), pa.array(hashes, pa.list_(pa.int64())), pa.array(sets, pa.binary())], ["doc_id", "same", "bands", "shingles"])
+                    h = mix(h + darts[:, :, r])
+                for k, row in zip(some, h.view(np.int64).tolist(), strict=True):
+                    bands_of[k] = row
+            same = [b"s" + xxhash.xxh3_128_digest(s.tobytes()) if len(s) else b"t" + xxhash.xxh3_128_digest(t.encode("utf-8", "replace")) for (s, _), t in zip(sets, held, strict=True)]
+            packed = [np.unique((s >> np.uint64(32)).astype("<u4")).tobytes() for s, _ in sets]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(same, pa.binary()), pa.array(bands_of, pa.list_(pa.int64())), pa.array(packed, pa.binary())], ["doc_id", "same", "bands", "shingles"])
 
     return texts(docs).mapInArrow(sign, "doc_id long, same binary, bands array<long>, shingles binary")
 

@@ -32,8 +32,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
         code = coder(path)
         for b in small_parts(batches):
             out: list[tuple] = []
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                ids = code.encode(text)
+            for doc, ids in zip(b.column("doc_id").to_pylist(), code.encode_all(b.column("text").to_pylist()), strict=True):
                 out += [(doc, i, len(p), len(ids), p.astype("<u4").tobytes()) for i in range(0, len(ids), capacity) for p in (ids[i : i + capacity],)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(),) * 4 + (pa.binary(),), strict=True)], ["doc_id", "start", "length", "doc_tokens", "ids"])

@@ -95,7 +95,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
             if out is None:
                 out = _Writer(folder, context.partitionId(), context.taskAttemptId(), code.dtype, sequence, batch)
             if b.num_rows:
-                out.add(b.column("doc_id").to_pylist(), [code.encode(t) for t in b.column("text").to_pylist()])
+                out.add(b.column("doc_id").to_pylist(), code.encode_all(b.column("text").to_pylist()))
         if out is not None and out.n_docs:
             name = out.close()
             yield pa.RecordBatch.from_arrays([pa.array([context.partitionId()], pa.int32()), pa.array([name]), pa.array([out.n_docs]), pa.array([out.n_ids])], ["part", "path", "n_docs", "n_ids"])

@@ -98,7 +98,8 @@ def test_signatures_estimate_weighted_jaccard(weighted):
     w = rng.uniform(0.2, 9, 300) if weighted else np.ones(300)
     v = np.where(rng.random(300) < 0.2, rng.uniform(0.2, 9, 300) if weighted else 0, w)
     k = 2000
-    a, b = minhash.dart_minhash(e, w, k), minhash.dart_minhash(e[v > 0], v[v > 0], k)
+    a, b = minhash.dart_minhash([(e, w), (e[v > 0], v[v > 0])], k)
+    assert (a == minhash.dart_minhash([(e, w)], k)[0]).all()
     assert abs((a == b).mean() - np.minimum(w, v).sum() / np.maximum(w, v).sum()) < 0.04
 
 
