@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -17,25 +18,28 @@ CAPACITY = 4096
 #: Documents in a group, on average: enough that its last, half-empty sequence does not count.
 GROUP_DOCS = 1024
 
-_PIECE = "doc_id long, start long, length long, doc_tokens long, ids binary"
+_PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
-    """The documents' ids, cut into pieces of at most `capacity`: doc_id, start, length, doc_tokens and ids (little-endian unsigned 32-bit).
+def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, with_ids: bool = True) -> DataFrame:
+    """The documents' ids, cut into pieces of at most `capacity`: doc_id, start, length, ids_crc32, doc_tokens and ids (little-endian unsigned 32-bit; null unless `with_ids`).
 
     Each document ends with the end id, so a null or empty text is one piece of
     length 1.
     """
     path = tokenizer or default_tokenizer()
+    types = (*(pa.int64(),) * 5, pa.binary())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(path)
         for b in small_parts(batches):
             out: list[tuple] = []
             for doc, ids in zip(b.column("doc_id").to_pylist(), code.encode_all(b.column("text").to_pylist()), strict=True):
-                out += [(doc, i, len(p), len(ids), p.astype("<u4").tobytes()) for i in range(0, len(ids), capacity) for p in (ids[i : i + capacity],)]
+                for i in range(0, len(ids), capacity):
+                    p = ids[i : i + capacity].astype("<u4").tobytes()
+                    out.append((doc, i, len(p) // 4, zlib.crc32(p), len(ids), p if with_ids else None))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(),) * 4 + (pa.binary(),), strict=True)], ["doc_id", "start", "length", "doc_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
 
     return texts(docs).mapInArrow(cut, _PIECE)
 
@@ -89,12 +93,10 @@ def pack(items: DataFrame, n_docs: int, capacity: int = CAPACITY, group_docs: in
 def packed_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
     """Where every piece of every document goes: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    The ids are dropped once their checksum is known, so only lengths are
-    shuffled; sequences() brings ids and places together. Rows repeated with
+    Only lengths and checksums are shuffled; sequences() brings ids and places together. Rows repeated with
     their doc_id are packed each time.
     """
-    cut = pieces(docs, capacity, tokenizer).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
-    kept = stored(cut, "pieces")
+    kept = stored(pieces(docs, capacity, tokenizer, with_ids=False).drop("ids"), "pieces")
     return pack(kept, kept.filter("start = 0").count(), capacity)
 
 

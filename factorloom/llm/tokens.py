@@ -11,7 +11,7 @@ import numpy as np
 
 END_ID = 2
 #: A worker sets its words aside when there are more; those that it meets again it need not encode again.
-KEPT_WORDS = 250_000
+KEPT_WORDS = 500_000
 
 _coders: dict[str, WordCoder] = {}
 #: A run of ASCII punctuation, but for the apostrophe, that ends a word: the tokenizer splits there anyway.
@@ -97,7 +97,7 @@ def crc32(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def small_parts(batches: Iterator, rows: int = 128) -> Iterator:
+def small_parts(batches: Iterator, rows: int = 256) -> Iterator:
     """Record batches cut into parts of at most `rows` rows."""
     for b in batches:
         for i in range(0, b.num_rows, rows):
