@@ -27,6 +27,8 @@ from factorloom.llm.tokens import small_parts
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 6
+#: Times that the members of a bucket are compared with one of them before all are compared.
+HEAD_TURNS = 3
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _known: dict[str, int] = {}
@@ -142,28 +144,42 @@ def jaccard(a: bytes, b: bytes) -> float:
     return n / max(len(x) + len(y) - n, 1)
 
 
-def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose sets of shingles have at least the similarity `threshold`, which is computed exactly."""
-    side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"{c}_set"))
+def similar(pairs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles have at least the similarity `threshold`, which is computed exactly.
+
+    Only the sets of documents in pairs are brought together.
+    """
+    pairs = stored(pairs.select("a", "b").distinct(), "pairs")
+    needed = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "needed")
+    held = stored(signed.select("doc_id", "shingles").join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "held")
+    side = lambda c: held.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"{c}_set"))
     near = F.least(F.length("a_set"), F.length("b_set")) >= threshold * F.greatest(F.length("a_set"), F.length("b_set"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").filter(near)
 
     @F.pandas_udf("double")
     def share(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([jaccard(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
-    return both.filter(share("a_set", "b_set") >= threshold).select("a", "b")
+    return stored(pairs.join(side("a"), "a").join(side("b"), "b").filter(near).filter(share("a_set", "b_set") >= threshold).select("a", "b"), "similar")
+
+
+def _undecided(crowded: DataFrame, groups: DataFrame) -> DataFrame:
+    """band, doc_id, grp for the members of buckets that hold documents of several components."""
+    known = groups.withColumnRenamed("node", "doc_id")
+    members = stored(crowded.select("band", "doc_id").join(known, "doc_id", "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("grp")), "members")
+    mixed = members.groupBy("band").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).filter("low != high").select("band")
+    return stored(members.join(stored(mixed, "mixed"), "band"), "undecided")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per document: doc_id, class_id (smallest doc_id of its group), group_size and kept (that document).
 
     Documents with the same shingles are one from the start. In every band's
-    bucket all members are compared with the smallest; components of these links
-    leave few buckets with members of several components, and there every member
-    is compared with all members of the other components, so that no candidate
-    pair is left out unless links join it already. Similarity is the exact
-    Jaccard similarity of sets of five-word shingles.
+    bucket all members are compared with the smallest. Buckets whose members are
+    in several components of these links are compared again, each with a head of
+    its own, HEAD_TURNS times; in the few that are left every member is compared
+    with all members of the other components, so that no candidate pair is left
+    out unless links join it already. Similarity is the exact Jaccard similarity
+    of sets of five-word shingles.
 
     Texts without words are alike only if equal; null counts as empty. Rows
     repeated with their doc_id are returned each time, alike.
@@ -171,23 +187,23 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, bands: int =
     signed = stored(signatures(docs, bands, rows), "signatures")
     same = stored(signed.groupBy("same").agg(F.min("doc_id").alias("first")), "same")
     member = stored(signed.select("doc_id", "same").join(same, "same").select("doc_id", "first"), "member")
-    firsts = signed.join(same.select(F.col("first").alias("doc_id"), "same"), ["doc_id", "same"], "left_semi")
-    sets = stored(firsts.filter(F.length("shingles") > 0).select("doc_id", "bands", "shingles").dropDuplicates(["doc_id"]), "sets")
-    placed = sets.select("doc_id", F.explode("bands").alias("band"))
+    placed = signed.select("doc_id", "same", "bands").join(same, "same").filter("doc_id = first").select("doc_id", F.explode("bands").alias("band")).distinct()
     buckets = stored(placed.groupBy("band").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n"), "buckets")
-    crowded = stored(placed.join(buckets, "band").select("band", "doc_id", "head"), "crowded")
-    links = similar(crowded.filter("doc_id != head").select(F.col("doc_id").alias("a"), F.col("head").alias("b")).distinct(), sets, threshold)
-    links = stored(links, "links")
+    crowded = stored(placed.join(buckets, "band"), "crowded")
+    links = similar(crowded.filter("doc_id != head").select(F.col("doc_id").alias("a"), F.col("head").alias("b")), signed, threshold)
     groups = stored(components(links), "groups")
-
-    group = F.coalesce("component", "doc_id")
-    with_group = crowded.select("band", "doc_id").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "doc_id", group.alias("grp"))
-    mixed = with_group.groupBy("band").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).filter("low != high").select("band")
-    open_ = stored(with_group.join(stored(mixed, "mixed"), "band"), "open")
-    other = open_.select("band", F.col("doc_id").alias("b"), F.col("grp").alias("other"))
-    rest = open_.join(other, "band").filter((F.col("grp") < F.col("other"))).select(F.col("doc_id").alias("a"), "b").distinct()
-    more = similar(rest, sets, threshold)
-    groups = stored(components(links.union(more)), "groups")
+    for turn in range(HEAD_TURNS + 1):
+        undecided = _undecided(crowded, groups)
+        if undecided.isEmpty():
+            break
+        if turn < HEAD_TURNS:
+            head = undecided.groupBy("band").agg(F.min_by(F.struct("doc_id", "grp"), F.xxhash64("doc_id", "band", F.lit(turn))).alias("head"))
+            pairs = undecided.join(stored(head, "heads"), "band").filter("grp != head.grp").select(F.col("doc_id").alias("a"), F.col("head.doc_id").alias("b"))
+        else:
+            other = undecided.select("band", F.col("doc_id").alias("b"), F.col("grp").alias("other"))
+            pairs = undecided.join(other, "band").filter("grp < other").select(F.col("doc_id").alias("a"), "b")
+        links = links.union(similar(pairs, signed, threshold))
+        groups = stored(components(links), "groups")
 
     classes = stored(member.join(groups.withColumnRenamed("node", "first"), "first", "left").select("doc_id", F.coalesce("component", "first").alias("class_id")), "classes")
     sizes = stored(classes.groupBy("class_id").agg(F.count("*").alias("group_size")), "sizes")
