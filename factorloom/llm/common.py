@@ -52,6 +52,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of what has just been written
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -18,6 +18,7 @@ as many passes over everything as the longest document has bytes; see the README
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -87,26 +88,36 @@ def _least(keys: tuple[np.ndarray, ...], doc: np.ndarray, start: np.ndarray) ->
     return least
 
 
-_SEGMENT = "doc_id long, start long, n long, gram long, seg long, least boolean"
-_STRING = "doc_id long, start long, h1 long, h2 long, least boolean"
-
-
-def _batches(columns: list[np.ndarray], names: list[str]) -> Iterator[pa.RecordBatch]:
-    for i in range(0, len(columns[0]), 50_000):
-        yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 50_000]) for c in columns], names)
-
+_SEGMENT = "doc_id long, start long, n long, gram long, seg long"
+_STRING = "doc_id long, start long, n long, h1 long, h2 long"
 
 #: Rows that a task holds before it passes them on; within these, repeats are found before the shuffle.
 _HELD = 1_000_000
 
 
-def _earliest_first(rows: Iterator[tuple[np.ndarray, ...]], names: list[str], keys: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
-    """The rows with `least`: whether a task's part of them has none earlier with the same keys."""
+def _merged(doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The runs with those that follow each other made one."""
+    order = np.lexsort((start, doc))
+    doc, start, n = doc[order], start[order], n[order]
+    head = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + n[:-1])])
+    return doc[head], start[head], np.add.reduceat(n, head)
+
+
+def _earliest_first(rows: Iterator[tuple[np.ndarray, ...]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows of doc_id, start, n and two keys: of a task's rows with equal keys the earliest as they are, the others merged and without keys."""
     held: list[tuple[np.ndarray, ...]] = []
 
     def flush() -> Iterator[pa.RecordBatch]:
         columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-        yield from _batches([*columns, _least(tuple(columns[k] for k in keys), columns[0], columns[1])], [*names, "least"])
+        least = _least((columns[3], columns[4]), columns[0], columns[1])
+        parts = [[pa.array(c[least]) for c in columns]]
+        if not least.all():
+            runs = [pa.array(c) for c in _merged(*(c[~least] for c in columns[:3]))]
+            parts.append([*runs, *[pa.nulls(len(runs[0]), pa.int64())] * 2])
+        for p in parts:
+            whole = pa.RecordBatch.from_arrays(p, names)
+            for i in range(0, whole.num_rows, 50_000):
+                yield whole.slice(i, 50_000)
 
     n = 0
     for r in rows:
@@ -127,7 +138,7 @@ def _segments_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     start, n, gram, seg = segments(b)
                     yield np.full(len(start), doc, np.int64), start, n, gram, seg
 
-    yield from _earliest_first(rows(), ["doc_id", "start", "n", "gram", "seg"], (3, 4))
+    yield from _earliest_first(rows(), ["doc_id", "start", "n", "gram", "seg"])
 
 
 def _strings_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,9 +153,9 @@ def _strings_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         h, i = gram_hashes(part), start - begin
                         one = mix(h[i] + mix(h[i + GRAM] + mix(h[i + LENGTH - GRAM])))
                         two = mix(h[i] ^ (h[i + GRAM] * _STEP) ^ (h[i + LENGTH - GRAM] << np.uint64(1)))
-                        yield np.full(len(start), doc, np.int64), start, one.view(np.int64), two.view(np.int64)
+                        yield np.full(len(start), doc, np.int64), start, np.ones(len(start), np.int64), one.view(np.int64), two.view(np.int64)
 
-    yield from _earliest_first(rows(), ["doc_id", "start", "h1", "h2"], (2, 3))
+    yield from _earliest_first(rows(), ["doc_id", "start", "n", "h1", "h2"])
 
 
 def _runs(rows: DataFrame) -> DataFrame:
@@ -164,13 +175,12 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     place = F.struct("doc_id", "start")
     first = F.min(place).over(Window.partitionBy("gram", "seg"))
     group = Window.partitionBy("gram")
-    sent = cut.filter("least").select("doc_id", "start", "n", "gram", "seg").withColumns({"low": F.min("seg").over(group), "high": F.max("seg").over(group), "first": first})
+    sent = cut.filter("gram is not null").withColumns({"low": F.min("seg").over(group), "high": F.max("seg").over(group), "first": first})
     judged = stored(sent.filter((F.col("low") != F.col("high")) | (place > F.col("first"))).select("doc_id", "start", "n", (place > F.col("first")).alias("repeat")), "judged")
-    strings = base.join(_runs(judged.filter("not repeat")), "doc_id").mapInArrow(_strings_of, _STRING)
-    strings = stored(strings, "strings")
-    ranked = strings.filter("least").withColumn("first", F.min(place).over(Window.partitionBy("h1", "h2")))
-    single = strings.filter("not least").select("doc_id", "start").union(ranked.filter(place > F.col("first")).select("doc_id", "start"))
-    return cut.filter("not least").select("doc_id", "start", "n").union(judged.filter("repeat").select("doc_id", "start", "n")).union(single.withColumn("n", F.lit(1).cast("long")))
+    strings = stored(base.join(_runs(judged.filter("not repeat")), "doc_id").mapInArrow(_strings_of, _STRING), "strings")
+    ranked = strings.filter("h1 is not null").withColumn("first", F.min(place).over(Window.partitionBy("h1", "h2"))).filter(place > F.col("first"))
+    found = [cut.filter("gram is null"), judged.filter("repeat"), strings.filter("h1 is null"), ranked]
+    return reduce(DataFrame.union, (f.select("doc_id", "start", "n") for f in found))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
