@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,12 +49,19 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df as a Parquet table in the shared folder: later steps read it again instead of computing it again, also after the loss of executors."""
+def stored(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+    """The rows of df as a Parquet table in the shared folder: later steps read it again instead of computing it again, also after the loss of executors.
+
+    Spark deletes shuffle files once the driver has collected what refers to
+    them; `release` collects at once, for steps that shuffle much.
+    """
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of what has just been written
+    for _ in range(3 * release):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
     return spark.read.schema(df.schema).parquet(path)
 
 

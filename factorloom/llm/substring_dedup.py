@@ -33,6 +33,8 @@ from factorloom.llm.tokens import small_parts
 LENGTH, GRAM = 100, 40
 #: Strings that are looked at together; longer documents are taken in parts.
 _PART = 1 << 19
+#: Slices of the strings' hashes that are compared one after the other, each with a fraction of the shuffle files.
+SLICES = 4
 _STEP = np.array([0x9E3779B97F4A7C15], np.uint64)
 
 
@@ -171,15 +173,17 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     that very many documents hold sends one row from each task.
     """
     base = texts(docs)
-    cut = stored(base.mapInArrow(_segments_of, _SEGMENT), "segments")
+    cut = stored(base.mapInArrow(_segments_of, _SEGMENT), "segments", release=True)
     place = F.struct("doc_id", "start")
     first = F.min(place).over(Window.partitionBy("gram", "seg"))
     group = Window.partitionBy("gram")
     sent = cut.filter("gram is not null").withColumns({"low": F.min("seg").over(group), "high": F.max("seg").over(group), "first": first})
-    judged = stored(sent.filter((F.col("low") != F.col("high")) | (place > F.col("first"))).select("doc_id", "start", "n", (place > F.col("first")).alias("repeat")), "judged")
-    strings = stored(base.join(_runs(judged.filter("not repeat")), "doc_id").mapInArrow(_strings_of, _STRING), "strings")
-    ranked = strings.filter("h1 is not null").withColumn("first", F.min(place).over(Window.partitionBy("h1", "h2"))).filter(place > F.col("first"))
-    found = [cut.filter("gram is null"), judged.filter("repeat"), strings.filter("h1 is null"), ranked]
+    judged = stored(sent.filter((F.col("low") != F.col("high")) | (place > F.col("first"))).select("doc_id", "start", "n", (place > F.col("first")).alias("repeat")), "judged", release=True)
+    strings = stored(base.join(_runs(judged.filter("not repeat")), "doc_id").mapInArrow(_strings_of, _STRING), "strings", release=True)
+    found = [cut.filter("gram is null"), judged.filter("repeat"), strings.filter("h1 is null")]
+    for k in range(SLICES):
+        part = strings.filter(F.pmod("h1", F.lit(SLICES)) == k).withColumn("first", F.min(place).over(Window.partitionBy("h1", "h2")))
+        found.append(stored(part.filter(place > F.col("first")).select("doc_id", "start", "n"), "repeats", release=True))
     return reduce(DataFrame.union, (f.select("doc_id", "start", "n") for f in found))
 
 
@@ -203,7 +207,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             columns = zip(*out, strict=True) if out else ((),) * 4
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(),) * 3 + (pa.binary(),), strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    runs = stored(_runs(repeated_runs(docs).distinct()), "runs")
+    runs = stored(_runs(repeated_runs(docs).distinct()), "runs", release=True)
     return texts(docs).join(runs, "doc_id", "left").mapInArrow(cover, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
