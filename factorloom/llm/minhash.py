@@ -47,7 +47,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def word_hashes(text: str) -> np.ndarray:
     """A 64-bit hash of each word, A-Z in lower case."""
     words = _WORD.findall(text.encode("utf-8", "replace").lower().decode())  # of bytes, ASCII letters alone change
-    if len(_known) > 300_000:
+    if len(_known) > 200_000:
         _known.clear()
     for w in [w for w in words if w not in _known]:
         _known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "replace"))
@@ -132,6 +132,7 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int
             same = [b"s" + xxhash.xxh3_128_digest(s.tobytes()) if len(s) else b"t" + xxhash.xxh3_128_digest(t.encode("utf-8", "replace")) for (s, _), t in zip(sets, held, strict=True)]
             packed = [np.unique((s >> np.uint64(32)).astype("<u4")).tobytes() for s, _ in sets]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(same, pa.binary()), pa.array(bands_of, pa.list_(pa.int64())), pa.array(packed, pa.binary())], ["doc_id", "same", "bands", "shingles"])
+        _known.clear()  # workers go on to other tasks
 
     return texts(docs).mapInArrow(sign, "doc_id long, same binary, bands array<long>, shingles binary")
 
