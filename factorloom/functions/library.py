@@ -79,14 +79,18 @@ def LOG(x: Value) -> Column:
     return F.log1p(x)
 
 
-def EMA(x: Value, n: int) -> Column:
-    """Exponential mean of span n with adjusted weights."""
-    keep = 1 - 2 / (n + 1)
+def _adjusted(x: Value, alpha: float) -> Column:
+    keep = 1 - alpha
     past = Window.partitionBy("instrument").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w"))
     return F.aggregate(F.collect_list(col(x).cast("double")).over(past), zero, lambda a, v: F.struct((a["s"] * keep + v).alias("s"), (a["w"] * keep + 1).alias("w")), lambda a: F.try_divide(a["s"], a["w"]))
 
 
+def EMA(x: Value, n: int) -> Column:
+    """Exponential mean of span n with adjusted weights."""
+    return _adjusted(x, 2 / (n + 1))
+
+
 def MACD(x: Value, short: int = 12, long: int = 26) -> Column:
     return EMA(x, short) - EMA(x, long)
 
@@ -115,3 +119,84 @@ def REGRESI(y: Value, x: Value, n: int) -> Column:
     a, b = F.coalesce(col(y), F.lit(0.0)), F.coalesce(col(x), F.lit(0.0))
     w = over(n)
     return _full(a - F.avg(a).over(w) - REGBETA(y, x, n) * (b - F.avg(b).over(w)), n)
+
+
+def collapsed(x: Value, how: str) -> Column:
+    """MEAN, STD, SKEW, KURT or MEDIAN of the date's known cells, on each of its rows."""
+    day = Window.partitionBy("date")
+    x, m = col(x), F.count(col(x)).over(day)
+    third = F.skewness(x).over(day) * F.try_divide(F.sqrt(m * (m - 1)), m - 2)
+    fourth = F.try_divide(((m + 1) * F.kurtosis(x).over(day) + 6) * (m - 1), (m - 2) * (m - 3))
+    return {"mean": F.avg(x).over(day), "std": F.stddev_samp(x).over(day), "skew": third, "kurt": fourth, "median": F.percentile(x, F.lit(0.5)).over(day)}[how]
+
+
+def PERCENTILE(x: Value, q: float, n: int | None = None) -> Column:
+    """Without a window, over the whole history, which looks ahead."""
+    return F.percentile(col(x), F.lit(q)).over(over(n) if n else Window.partitionBy("instrument"))
+
+
+def SUMAC(x: Value, n: int = 10) -> Column:
+    return F.sum(col(x)).over(over(n))
+
+
+def SMA(x: Value, m: int, n: float | None = None) -> Column:
+    """The mean of m rows; with n, the exponential mean of weight n / m with adjusted weights."""
+    return F.avg(col(x)).over(over(m)) if n is None else _adjusted(x, n / m)
+
+
+def _by_weights(x: Value, weights: list[float], total: bool) -> Column:
+    """A window's cells by weights, oldest cell first; a short window takes the first weights. A null in the window gives null."""
+    n = len(weights)
+    cells = F.collect_list(F.struct(col(x).cast("double").alias("x"))).over(over(n))
+    pairs = F.zip_with(cells, F.slice(F.array(*[F.lit(float(w)) for w in weights]), F.lit(1), F.size(cells)), lambda c, w: F.struct((c["x"] * w).alias("v"), w.alias("w")))
+    add = lambda field: F.aggregate(pairs, F.lit(0.0), lambda s, p: s + p[field])
+    return add("v") / add("w") if total else add("v")
+
+
+def WMA(x: Value, n: int = 20) -> Column:
+    """Weights 0.9 ** k, the newest of a full window heaviest."""
+    return _by_weights(x, [0.9**k for k in range(n - 1, -1, -1)], True)
+
+
+def DECAYLINEAR(x: Value, n: int = 5) -> Column:
+    """Linear weights made to sum to 1 over a full window, also where the window is short."""
+    return _by_weights(x, [2 * k / (n * (n + 1)) for k in range(1, n + 1)], False)
+
+
+def PROD(x: Value, p: int | Value) -> Column:
+    """The product of p rows, or with another column."""
+    return F.product(col(x)).over(over(p)) if isinstance(p, int) else col(x) * col(p)
+
+
+def FILTER(x: Value, condition: Column) -> Column:
+    return col(x) * condition.cast("double")
+
+
+def SEQUENCE(n: int) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.lit(n)), lambda v: v.cast("double"))
+
+
+def INV(x: Value) -> Column:
+    return F.try_divide(F.lit(1.0), col(x))
+
+
+def DIVIDE(x: Value, y: Value) -> Column:
+    """Infinite with the sign of x where y is 0; null at 0 / 0."""
+    x, y = col(x), col(y)
+    return F.when((y == 0) & (x != 0), F.signum(x) * F.lit(float("inf"))).otherwise(F.try_divide(x, y))
+
+
+def RSI(x: Value, n: int = 14) -> Column:
+    """100 less 100 over 1 and the ratio of mean rises to mean falls; 100 where nothing fell."""
+    change = core.ts_delta(x, 1)
+    up, down = EMA(F.when(change > 0, change).when(change.isNotNull(), 0.0), n), EMA(F.when(change < 0, -change).when(change.isNotNull(), 0.0), n)
+    return F.when((down == 0) & (up > 0), 100.0).otherwise(100 - 100 / (1 + F.try_divide(up, down)))
+
+
+def BB_MIDDLE(x: Value, n: int | Value) -> Column:
+    """The mean of n rows; n may be a column, then of at most its row's number of newest cells."""
+    if isinstance(n, int):
+        return F.avg(col(x)).over(over(n))
+    past = F.collect_list(col(x).cast("double")).over(Window.partitionBy("instrument").orderBy("date").rowsBetween(Window.unboundedPreceding, 0))
+    m = F.least(F.size(past), col(n).cast("int"))
+    return F.when(m > 0, F.aggregate(F.slice(past, F.size(past) - m + 1, m), F.lit(0.0), lambda s, v: s + v) / m)

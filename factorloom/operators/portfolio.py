@@ -70,3 +70,56 @@ def metrics(daily: DataFrame, periods: int = 252, risk_free: float = 0.02) -> Da
     annual = F.pow("nav", F.lit(float(periods)) / F.col("n")) - 1
     sharpe = F.try_divide((F.col("mean") - risk_free / periods) * periods**0.5, F.col("dev"))
     return r.select((F.col("nav") - 1).alias("total_return"), annual.alias("annual_return"), (F.col("dev") * periods**0.5).alias("volatility"), sharpe.alias("sharpe"), "max_drawdown", F.try_divide(annual, F.abs("max_drawdown")).alias("calmar"), "win_rate", "avg_turnover")
+
+
+def turnover(weights: DataFrame) -> DataFrame:
+    """date, turnover from the second date on: half the sum of changes, entries and exits included; 1 where no name is kept."""
+    dates = weights.select("date").distinct().withColumn("next", F.lead("date").over(Window.orderBy("date")))
+    old = weights.join(F.broadcast(dates), "date").filter("next is not null").select(F.col("next").alias("date"), "instrument", F.col("weight").alias("was"))
+    new = weights.join(F.broadcast(dates.filter("next is not null").select(F.col("next").alias("date"))), "date", "left_semi")
+    both = new.join(old, ["date", "instrument"], "full")
+    daily = both.groupBy("date").agg(F.count_if(F.col("weight").isNotNull() & F.col("was").isNotNull()).alias("kept"), (F.sum(F.abs(F.coalesce("weight", F.lit(0.0)) - F.coalesce("was", F.lit(0.0)))) / 2).alias("turnover"))
+    return daily.select("date", F.when(F.col("kept") == 0, 1.0).otherwise(F.col("turnover")).alias("turnover"))
+
+
+def on_grid(weights: DataFrame, grid: DataFrame, start: str | None = None) -> DataFrame:
+    """Weights on every cell of a grid (date, instrument): a date's missing names are 0, dates without weights repeat the last ones; from `start` on."""
+    known = weights.select("date").distinct().withColumn("set", F.lit(True))
+    cells = grid.select("date", "instrument").join(F.broadcast(known), "date", "left").join(weights, ["date", "instrument"], "left")
+    past = Window.partitionBy("instrument").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    filled = F.coalesce(F.last(F.when(F.col("set"), F.coalesce("weight", F.lit(0.0))), ignorenulls=True).over(past), F.lit(0.0))
+    out = cells.select("date", "instrument", filled.alias("weight"))
+    return out.filter(F.col("date") >= start) if start else out
+
+
+def screened(weights: DataFrame, excluded: DataFrame, most: float, least: float = 0.0) -> DataFrame:
+    """Weights without the names of (instrument), scaled to 1, then cut by `capped`."""
+    kept = weights.join(excluded.select("instrument").distinct(), "instrument", "left_anti")
+    return capped(kept.withColumn("weight", F.col("weight") / F.sum("weight").over(Window.partitionBy("date"))), most, least)
+
+
+def return_metrics(daily: DataFrame, periods: int = 252, risk_free: float = 0.0) -> DataFrame:
+    """One row from (date, ret, market): Sharpe, drawdown by product and by sum, Calmar, information ratio, win rate, Sortino, beta."""
+    past = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    nav = daily.withColumn("nav", F.product(1 + F.col("ret")).over(past)).withColumn("line", 1 + F.sum("ret").over(past))
+    nav = nav.withColumn("down", F.col("nav") / F.max("nav").over(past) - 1).withColumn("simple", F.col("line") / F.max("line").over(past) - 1).withColumn("x", F.col("ret") - risk_free / periods).withColumn("over", F.col("ret") - F.col("market"))
+    s = nav.agg(
+        F.count("*").alias("n"), F.max_by("nav", "date").alias("nav"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("dev"), F.stddev_samp(F.when(F.col("x") < 0, F.col("x"))).alias("down_dev"), F.min("down").alias("max_drawdown"), F.min("simple").alias("simple_drawdown"),
+        F.avg("over").alias("over"), F.stddev_samp("over").alias("over_dev"), F.avg((F.col("ret") > 0).cast("double")).alias("win_rate"), F.covar_samp("ret", "market").alias("cov"), F.var_pop("market").alias("var"),
+    )
+    root, zero = periods**0.5, F.lit(0.0)
+    ratio = lambda a, b: F.coalesce(F.try_divide(a, b), zero)
+    annual = F.pow("nav", F.lit(float(periods)) / F.col("n")) - 1
+    return s.select(
+        (ratio("mean", "dev") * root).alias("sharpe"), "max_drawdown", "simple_drawdown", ratio(annual, F.abs("max_drawdown")).alias("calmar"), (ratio("over", "over_dev") * root).alias("information_ratio"), "win_rate", (ratio("mean", "down_dev") * root).alias("sortino"), (F.col("cov") / (F.col("var") + 1e-8)).alias("beta"),
+    )
+
+
+def excess_nav(nav: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """date, cumulative, market, excess from (date, nav) and (date, level): both against their first value, the benchmark filled forward, then backward."""
+    every = Window.orderBy("date")
+    ahead, behind = every.rowsBetween(Window.unboundedPreceding, 0), every.rowsBetween(0, Window.unboundedFollowing)
+    level = F.coalesce(F.last("level", ignorenulls=True).over(ahead), F.first("level", ignorenulls=True).over(behind))
+    both = nav.join(benchmark, "date", "left").withColumn("level", level)
+    first = lambda c: F.first(c).over(ahead)
+    return both.select("date", (F.col("nav") / first("nav") - 1).alias("cumulative"), (F.col("level") / first("level") - 1).alias("market")).withColumn("excess", F.col("cumulative") - F.col("market"))

@@ -42,16 +42,17 @@ QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def _columns(name: str, columns: dict[str, tuple[Callable[[], Column], str]], kind: str = "supplier") -> None:
-    """A query of several columns over the dense panel, rounded, and its SQL."""
+def _columns(name: str, columns: dict[str, tuple[Callable[[], Column], str]], kind: str = "supplier", into: tuple[dict, dict] | None = None) -> None:
+    """A query of several columns over the dense panel, rounded, and its SQL; registered here or in other tables of both."""
+    known, oracles = into or (QUERIES, ORACLE_SQL)
     read = panels.brand_panel if kind == "brand" else panels.supplier_panel
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         dense = panels.densify(read(spark, sf_dir))
         return dense.select("date", "instrument", *[F.round(c().cast("double"), 6).alias(k) for k, (c, _) in columns.items()])
 
-    QUERIES[name] = query
-    ORACLE_SQL[name] = f"{_panel(kind)} SELECT date, instrument, {', '.join(f'round(CAST({s} AS DOUBLE), 6) AS {k}' for k, (_, s) in columns.items())} FROM g"
+    known[name] = query
+    oracles[name] = f"{_panel(kind)} SELECT date, instrument, {', '.join(f'round(CAST({s} AS DOUBLE), 6) AS {k}' for k, (_, s) in columns.items())} FROM g"
 
 
 def _register() -> None:
@@ -188,7 +189,7 @@ ORACLE_SQL |= {
         d AS (SELECT date, sum(f * t) / nullif(sqrt(sum(f * f)) * sqrt(sum(t * t)), 0) AS ic FROM c GROUP BY date)
         SELECT count(ic) AS n, round(avg(ic), 6) AS mean_ic, round(avg(ic) / stddev_samp(ic), 6) AS icir, round(avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0.0 END), 6) AS win_rate FROM d WHERE ic IS NOT NULL""",
     "quantile_spread": f"""{_CELLS}, k AS (SELECT * FROM cells WHERE factor IS NOT NULL AND target IS NOT NULL),
-        e AS (SELECT date, count(*) AS n, list_sort(list_distinct(quantile_cont(factor, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]))) AS e FROM k GROUP BY date)
+        e AS (SELECT date, count(*) AS n, list_sort(list_distinct(quantile_cont(factor, [0.0, 0.2, 0.4, 0.6000000000000001, 0.8, 1.0]))) AS e FROM k GROUP BY date)
         SELECT date, round(avg(target) FILTER (factor > e[-2]) - avg(target) FILTER (factor <= e[2]), 6) AS spread FROM k JOIN e USING (date) WHERE n >= 15 AND len(e) > 2 GROUP BY date""",
     "rank_stability": f"""{_CELLS}, d AS (SELECT date, row_number() OVER (ORDER BY date) AS j FROM (SELECT DISTINCT date FROM cells)),
         k AS (SELECT instrument, date, j, {_RANK.format(x='factor')} AS r FROM cells JOIN d USING (date))
