@@ -11,6 +11,7 @@ coordinate with the chance of the weighted Jaccard similarity.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -18,7 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorloom.llm.common import stored, texts
@@ -171,16 +172,61 @@ def _undecided(crowded: DataFrame, groups: DataFrame) -> DataFrame:
     return stored(members.join(stored(mixed, "mixed"), "band"), "undecided")
 
 
+def _rare_pairs(undecided: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of undecided documents in different components that may be similar enough.
+
+    Similar sets of n and m shingles have need(n, m) in common, so in any fixed
+    order they share one among the first n - need + 1 and m - need + 1. The order
+    here is from rare to frequent: what a document alone has comes first, and
+    copies that differ in much meet nowhere. Need grows with the smaller set's
+    size, so rows are keyed by its class of size (steps of 2 %). Of the members
+    of a key, those of its largest component aren't compared with one another.
+    """
+    step = math.log(1.02)
+    size_class = lambda n: F.floor(F.log(n) / step)
+    need = lambda n, m: F.ceil(threshold / (1 + threshold) * (n + m) - 1e-9)
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small_parts(batches, 16):
+            sets = [np.frombuffer(x, "<u4").astype(np.int64) for x in b.column("shingles").to_pylist()]
+            sizes = np.array([len(x) for x in sets])
+            again = lambda v: pa.array(np.repeat(np.asarray(v), sizes))  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([again(b.column("doc_id")), again(b.column("grp")), again(sizes), pa.array(np.concatenate(sets))], ["doc_id", "grp", "n", "shingle"])
+
+    members = stored(undecided.select("doc_id", "grp").distinct(), "members")
+    sets = signed.select("doc_id", "shingles").join(members, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "grp", "shingles")
+    each = stored(sets.mapInArrow(unpack, "doc_id long, grp long, n long, shingle long"), "each")
+    often = stored(each.groupBy("shingle").agg(F.count("*").alias("often")), "often")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("often", "shingle"))
+    n = F.col("n")
+    as_smaller = F.struct(size_class(n).alias("size"), F.lit(False).alias("larger"), (n - need(n, n) + 1).alias("until"))
+    as_larger = F.transform(
+        F.sequence(size_class(threshold * n), size_class(n)),
+        lambda c: F.struct(c.alias("size"), F.lit(True).alias("larger"), (n - need(F.greatest(F.exp(c * step) - 1e-6, threshold * n), n) + 1).alias("until")),
+    )
+    ranked = each.join(often, "shingle").withColumn("place", place).filter(F.col("place") <= n - F.ceil(threshold * n - 1e-9) + 1)
+    roles = F.filter(F.concat(F.array(as_smaller), as_larger), lambda r: F.col("place") <= r["until"])
+    key = ["shingle", "size"]
+    first = stored(ranked.withColumn("role", F.explode(roles)).select("shingle", "role.size", "role.larger", "doc_id", "grp", "n", "place"), "first")
+    held = first.groupBy(*key, "grp").agg(F.count("*").alias("rows"))
+    top = stored(held.groupBy(key).agg(F.max_by("grp", F.struct("rows", "grp")).alias("top"), F.count("*").alias("groups")).filter("groups > 1").select(*key, "top"), "top")
+    left = stored(first.join(top, key).filter("grp != top").drop("top"), "left")
+    right = first.select(*key, (~F.col("larger")).alias("larger"), F.col("doc_id").alias("b"), F.col("grp").alias("other"), F.col("n").alias("m"), F.col("place").alias("there"))
+    enough = F.least(n - F.col("place"), F.col("m") - F.col("there")) + 1 >= need(n, F.col("m"))
+    return left.join(right, [*key, "larger"]).filter("grp != other").filter(enough).select(F.greatest("doc_id", "b").alias("a"), F.least("doc_id", "b").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per document: doc_id, class_id (smallest doc_id of its group), group_size and kept (that document).
 
     Documents with the same shingles are one from the start. In every band's
     bucket all members are compared with the smallest. Buckets whose members are
     in several components of these links are compared again, each with a head of
-    its own, HEAD_TURNS times; in the few that are left every member is compared
-    with all members of the other components, so that no candidate pair is left
-    out unless links join it already. Similarity is the exact Jaccard similarity
-    of sets of five-word shingles.
+    its own, HEAD_TURNS times. Members of those that are left are compared with all
+    members of other components with which they share one of their rarest
+    shingles, as any two similar sets do: no candidate pair is left out that is
+    similar and not joined by links already. Similarity is the exact Jaccard
+    similarity of sets of five-word shingles.
 
     Texts without words are alike only if equal; null counts as empty. Rows
     repeated with their doc_id are returned each time, alike.
@@ -201,8 +247,7 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, bands: int =
             head = undecided.groupBy("band").agg(F.min_by(F.struct("doc_id", "grp"), F.xxhash64("doc_id", "band", F.lit(turn))).alias("head"))
             pairs = undecided.join(stored(head, "heads"), "band").filter("grp != head.grp").select(F.col("doc_id").alias("a"), F.col("head.doc_id").alias("b"))
         else:
-            other = undecided.select("band", F.col("doc_id").alias("b"), F.col("grp").alias("other"))
-            pairs = undecided.join(other, "band").filter("grp < other").select(F.col("doc_id").alias("a"), "b")
+            pairs = _rare_pairs(undecided, signed, threshold)
         links = links.union(similar(pairs, signed, threshold))
         groups = stored(components(links), "groups")
 

@@ -85,6 +85,16 @@ def test_near_duplicates(spark, docs, empty):
     assert minhash.drop_near_duplicates(docs.union(docs)).count() == minhash.drop_near_duplicates(docs).count()
 
 
+@pytest.mark.parametrize("turns", [0, 3])
+def test_group_of_copies_around_the_threshold(spark, monkeypatch, turns):
+    monkeypatch.setattr(minhash, "HEAD_TURNS", turns)
+    random, words = np.random.default_rng(5), [f"w{i}" for i in range(150)]
+    data = [(k, " ".join(f"own{k}x{i}" if random.random() < 0.002 * (k % 14) else w for i, w in enumerate(words))) for k in range(150)]
+    want = brute_groups(data)
+    assert 3 < len(set(want.values())) < 140
+    assert {k: r["class_id"] for k, r in rows(minhash.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"))).items()} == want
+
+
 def test_near_duplicates_of_the_sample(spark):
     frame = spark.read.parquet(f"{SF}/documents.parquet")
     want = brute_groups([(r.doc_id, r.text) for r in frame.collect()])
