@@ -179,8 +179,9 @@ def _rare_pairs(undecided: DataFrame, signed: DataFrame, threshold: float) -> Da
     order they share one among the first n - need + 1 and m - need + 1. The order
     here is from rare to frequent: what a document alone has comes first, and
     copies that differ in much meet nowhere. Need grows with the smaller set's
-    size, so rows are keyed by its class of size (steps of 2 %). Of the members
-    of a key, those of its largest component aren't compared with one another.
+    size, so rows are keyed by its class of size (steps of 2 %). Shingles of one
+    component alone join nothing and are left out once they are counted; of the
+    members of a key, those of its largest component aren't compared.
     """
     step = math.log(1.02)
     size_class = lambda n: F.floor(F.log(n) / step)
@@ -196,7 +197,7 @@ def _rare_pairs(undecided: DataFrame, signed: DataFrame, threshold: float) -> Da
     members = stored(undecided.select("doc_id", "grp").distinct(), "members")
     sets = signed.select("doc_id", "shingles").join(members, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "grp", "shingles")
     each = stored(sets.mapInArrow(unpack, "doc_id long, grp long, n long, shingle long"), "each")
-    often = stored(each.groupBy("shingle").agg(F.count("*").alias("often")), "often")
+    often = stored(each.groupBy("shingle").agg(F.count("*").alias("often"), (F.min("grp") != F.max("grp")).alias("mixed")), "often")
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("often", "shingle"))
     n = F.col("n")
     as_smaller = F.struct(size_class(n).alias("size"), F.lit(False).alias("larger"), (n - need(n, n) + 1).alias("until"))
@@ -204,7 +205,7 @@ def _rare_pairs(undecided: DataFrame, signed: DataFrame, threshold: float) -> Da
         F.sequence(size_class(threshold * n), size_class(n)),
         lambda c: F.struct(c.alias("size"), F.lit(True).alias("larger"), (n - need(F.greatest(F.exp(c * step) - 1e-6, threshold * n), n) + 1).alias("until")),
     )
-    ranked = each.join(often, "shingle").withColumn("place", place).filter(F.col("place") <= n - F.ceil(threshold * n - 1e-9) + 1)
+    ranked = each.join(often, "shingle").withColumn("place", place).filter("mixed").filter(F.col("place") <= n - F.ceil(threshold * n - 1e-9) + 1)
     roles = F.filter(F.concat(F.array(as_smaller), as_larger), lambda r: F.col("place") <= r["until"])
     key = ["shingle", "size"]
     first = stored(ranked.withColumn("role", F.explode(roles)).select("shingle", "role.size", "role.larger", "doc_id", "grp", "n", "place"), "first")
