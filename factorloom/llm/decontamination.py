@@ -19,9 +19,9 @@ WINDOW = 13
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
-    """item_id, item_words and n_item for the items with words."""
-    split = benchmark.select("item_id", words(F.coalesce("text", F.lit(""))).alias("item_words"))
-    return split.withColumn("n_item", F.size("item_words")).filter("n_item > 0")
+    """row (a key of its own, to be stored before use), item_id, item_words and n_item for the different items with words; rows may share an item_id."""
+    split = benchmark.select("item_id", words(F.coalesce("text", F.lit(""))).alias("item_words")).filter(F.size("item_words") > 0).distinct()
+    return split.select(F.monotonically_increasing_id().alias("row"), "item_id", "item_words", F.size("item_words").alias("n_item"))
 
 
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -37,19 +37,19 @@ def _slice(array: str | Column, start: Column, length: Column) -> Column:
 
 
 def anchors_of(items: DataFrame, counts: DataFrame, window: int = WINDOW) -> DataFrame:
-    """term, item_id, item_pos and what stands `half` words to its left and right, for the rarest term of every window of an item.
+    """term, row, item_pos and what stands `half` words to its left and right, for the rarest term of every window of an item.
 
     Windows with a term that the corpus lacks can't occur and have no anchor.
     """
     length = F.least("n_item", F.lit(window))
-    starts = items.select("item_id", "n_item", "item_words", F.explode(F.sequence(F.lit(0), F.col("n_item") - length)).alias("start"))
-    places = starts.select("item_id", "start", F.posexplode(_slice("item_words", F.col("start"), length)).alias("at", "term"), length.alias("length"))
-    ranked = places.join(counts, "term").groupBy("item_id", "start", "length").agg(F.count("*").alias("known"), F.min(F.struct("n", F.col("start") + F.col("at"), "term")).alias("rarest"))
-    chosen = ranked.filter("known = length").select("item_id", F.col("rarest.term").alias("term"), F.col("rarest.col2").alias("item_pos"), F.floor(F.col("length") / 2).cast("int").alias("half")).distinct()
-    full = chosen.join(items, "item_id")
+    starts = items.select("row", "n_item", "item_words", F.explode(F.sequence(F.lit(0), F.col("n_item") - length)).alias("start"))
+    places = starts.select("row", "start", F.posexplode(_slice("item_words", F.col("start"), length)).alias("at", "term"), length.alias("length"))
+    ranked = places.join(counts, "term").groupBy("row", "start", "length").agg(F.count("*").alias("known"), F.min(F.struct("n", F.col("start") + F.col("at"), "term")).alias("rarest"))
+    chosen = ranked.filter("known = length").select("row", F.col("rarest.term").alias("term"), F.col("rarest.col2").alias("item_pos"), F.floor(F.col("length") / 2).cast("int").alias("half")).distinct()
+    full = chosen.join(items, "row")
     left = F.when(F.col("item_pos") >= F.col("half"), _slice("item_words", F.col("item_pos") - F.col("half"), F.col("half")))
     right = F.when(F.col("item_pos") + F.col("half") < F.col("n_item"), _slice("item_words", F.col("item_pos") + 1, F.col("half")))
-    return full.select("term", "item_id", "item_pos", "n_item", "half", left.alias("left_words"), right.alias("right_words"))
+    return full.select("term", "row", "item_pos", "n_item", "half", left.alias("left_words"), right.alias("right_words"))
 
 
 def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -57,7 +57,8 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
 
     An item of fewer words than `window`, but not none, is one window. Items
     without words match nothing, nor do documents without. Rows repeated with
-    their doc_id give their matches once.
+    their doc_id give their matches once. Items of one item_id are matched each,
+    and a place that several of them match is given once.
     """
     items = stored(items_of(benchmark), "items")
     vocabulary = items.select(F.explode("item_words").alias("term")).distinct()
@@ -70,9 +71,9 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
     found = (
         postings(docs, anchors)
         .filter(agrees)
-        .select("doc_id", "item_id", begin.alias("begin"), (begin - shift).alias("skipped"), _slice("doc_words", shift, F.col("n_item")).alias("there"))
-        .dropDuplicates(["doc_id", "item_id", "begin", "skipped"])
-        .join(small(items), "item_id")
+        .select("doc_id", "row", begin.alias("begin"), (begin - shift).alias("skipped"), _slice("doc_words", shift, F.col("n_item")).alias("there"))
+        .dropDuplicates(["doc_id", "row", "begin", "skipped"])
+        .join(small(items), "row")
     )
     same = F.zip_with("there", _slice("item_words", F.col("skipped"), F.size("there")), lambda a, b: a == b)
     length = F.least("n_item", F.lit(window))
@@ -104,13 +105,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, o
     """
     matches = stored(phrase_matches(docs, benchmark, window), "matches")
     hit = matches.select("doc_id", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("at")).distinct().groupBy("doc_id").agg(F.count("*").alias("hit"))
-    items = matches.select("doc_id", F.col("item_id").cast("string").alias("item")).distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    items = matches.select("doc_id", F.col("item_id").cast("string").alias("item")).distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("item")).alias("items"), F.count("*").alias("n_items"))
     found = hit.join(items, "doc_id")
     counted = texts(docs).select("doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"))
     n_hit = F.coalesce("hit", F.lit(0)).cast("long")
     listed = F.coalesce("items", F.array().cast("array<string>"))
     return counted.join(found, "doc_id", "left").select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"), F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"),
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"),
         ((n_hit > 0) & (n_hit * one_in >= F.col("n_words"))).alias("contaminated"),
     )
 

@@ -7,7 +7,7 @@ import re
 from collections import defaultdict
 
 from factorloom.llm import decontamination, exact_dedup, licenses
-from tests.llm.conftest import DOCS, ITEMS, rows
+from tests.llm.conftest import DOCS, ITEMS, PASSAGE, rows
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -73,6 +73,25 @@ def test_shuffled_lookup_gives_the_same(spark, docs, monkeypatch):
     assert rows(decontamination.contamination(docs, bench)) == brute_contamination(DOCS, ITEMS)
 
 
+def test_repeated_and_clashing_items(spark, docs):
+    """Rows that share an item_id are matched each, a repeated row as if it stood once, and a null item_id too."""
+    words_of = PASSAGE.split()
+    clash = " ".join([*words_of[:20], "and", "then", "another", "end"])
+    items = [(1, PASSAGE), (1, PASSAGE), (1, clash), (2, "lima mike november"), (2, "lima mike november"), (2, "papa"), (3, " ".join(words_of[3:16]).upper()), (3, " ".join(words_of[3:16])), (8, "x x"), (8, None)]
+    data = [*DOCS, (500, clash), (501, "says " + " ".join(words_of[:13]))]
+    frame = docs.select("doc_id", "text").union(spark.createDataFrame(data[-2:], "doc_id long, text string"))
+    single = [brute_contamination(data, [x]) for x in items]
+    places = rows(decontamination.contamination(frame, spark.createDataFrame(items, "item_id long, text string")))
+    for d, _ in data:
+        found = sorted({str(i) for (i, _), one in zip(items, single, strict=True) if one[d]["n_hit"]})
+        assert places[d]["n_items"] == len(found) and places[d]["items_sha256"] == hashlib.sha256(",".join(found).encode()).hexdigest()
+    apart = brute_contamination(data, [(k, t) for k, (_, t) in enumerate(items)])
+    assert {d: (r["n_hit"], r["contaminated"]) for d, r in places.items()} == {d: (r["n_hit"], r["contaminated"]) for d, r in apart.items()}
+    assert places[500]["n_items"] > 0 and places[501]["n_items"] > 0
+    unnamed = rows(decontamination.contamination(frame, spark.createDataFrame([(None, PASSAGE), (None, PASSAGE)], "item_id long, text string")))
+    assert unnamed[5]["n_hit"] == 26 and unnamed[5]["n_items"] == 1 and unnamed[5]["items_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
 def test_proximity(spark, docs):
     pairs = spark.createDataFrame([(1, "alpha", "delta"), (2, "november", "lima"), (3, "alpha", "zulu")], "pair_id int, term_a string, term_b string")
     got = {tuple(r) for r in decontamination.proximity_matches(docs, pairs, 4).collect()}
