@@ -113,7 +113,8 @@ def _earliest(owner: np.ndarray, elements: np.ndarray, weights: np.ndarray, unti
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
     """doc_id, same (a digest that documents with the same shingles share), bands (a hash for each; none without words) and shingles (sorted 32-bit hashes, as bytes).
 
-    A shingle weighs 1 plus the logarithm of its count.
+    Every shingle weighs 1, however often it occurs, as similarity is decided for
+    sets: pairs whose repeated lines differ in number meet as often as others.
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +125,7 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int
             some = [k for k, (s, _) in enumerate(sets) if len(s)]
             bands_of: list[list[int]] = [[] for _ in held]
             if some:
-                darts = dart_minhash([(sets[k][0], 1 + np.log(sets[k][1])) for k in some], bands * rows).reshape(len(some), bands, rows)
+                darts = dart_minhash([(sets[k][0], np.ones(len(sets[k][0]))) for k in some], bands * rows).reshape(len(some), bands, rows)
                 h = salt
                 for r in range(rows):
                     h = mix(h + darts[:, :, r])

@@ -95,6 +95,17 @@ def test_group_of_copies_around_the_threshold(spark, monkeypatch, turns):
     assert {k: r["class_id"] for k, r in rows(minhash.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"))).items()} == want
 
 
+def test_copies_whose_lines_repeat_another_number_of_times(spark):
+    data = []
+    for k in range(10):
+        words, line = [f"u{k}x{i}" for i in range(100)], " ".join(f"line{k}x{i}" for i in range(60))
+        data.append((2 * k, "\n".join([" ".join(words), *[line] * 2])))
+        data.append((2 * k + 1, "\n".join([" ".join([*words[:50], "other", *words[51:]]), *[line] * 200])))
+    want = brute_groups(data)
+    assert all(want[i] == i // 2 * 2 for i in want)
+    assert {k: r["class_id"] for k, r in rows(minhash.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"))).items()} == want
+
+
 def test_near_duplicates_of_the_sample(spark):
     frame = spark.read.parquet(f"{SF}/documents.parquet")
     want = brute_groups([(r.doc_id, r.text) for r in frame.collect()])
