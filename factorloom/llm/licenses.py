@@ -44,8 +44,24 @@ def blocks_of(docs: DataFrame) -> DataFrame:
     return lines.select("doc_id", "block", F.array_distinct(words(F.col("line"))).alias("tokens")).filter(F.size("tokens") > 0)
 
 
+def passages_of(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, block (-1, -2, ... from the start of the text) and `ordered`, 2n words from every n-th word on, of texts of several lines.
+
+    Any n consecutive words stand in one of them, over however many lines they go.
+    """
+    split = texts(docs).filter(F.contains("text", F.lit("\n"))).select("doc_id", words(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    last = F.greatest(F.ceil(F.size("w") / n).cast("int") - 2, F.lit(0))
+    cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice("w", i * n + 1, 2 * n))
+    return split.select("doc_id", F.posexplode(cut).alias("at", "ordered")).select("doc_id", (-1 - F.col("at")).alias("block"), "ordered")
+
+
 def similar_blocks(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
-    """Every line that contains at least `threshold` of a template's distinct words: doc_id, block, label, containment.
+    """Every block that contains at least `threshold` of a template's distinct words: doc_id, block, label, containment.
+
+    Blocks are the lines, and all runs of as many consecutive words as the longest
+    template has, so that a notice wrapped over lines is found. Runs are looked up
+    in passages of twice that length, which stand for the runs inside: these have
+    negative numbers and the containment of their best run.
 
     Tokens are ordered from the globally rarest to the most frequent. A block
     that reaches the threshold shares a token with the template's prefix of
@@ -54,22 +70,32 @@ def similar_blocks(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, th
     the first common place on (positional filter) before the sets are compared.
     Lines without words and empty tables give no rows.
     """
-    tokens = template_sets(docs.sparkSession, templates)
-    vocabulary = F.array(*[F.lit(t) for t in sorted({w for v in templates.values() for w in v.split()})])
+    spark = docs.sparkSession
+    tokens = template_sets(spark, templates) if templates else None
+    held = sorted({r["token"] for r in tokens.collect()}) if templates else []  # words of the templates alone
+    if not held:
+        return texts(docs).limit(0).select("doc_id", F.lit(0).alias("block"), F.lit("").alias("label"), F.lit(0.0).alias("containment"))
+    vocabulary = F.array(*[F.lit(t) for t in held])
+    longest = spark.range(1).select(F.greatest(F.lit(1), *[F.size(words(F.lit(v))) for v in templates.values()])).first()[0]
+    least = max(tokens.groupBy("label").agg(F.ceil(F.lit(threshold) * F.count("*")).cast("int").alias("need")).agg(F.min("need")).first()[0], 1)
     # Words that no template has cannot change an overlap; each block keeps its template words and its length.
-    known = blocks_of(docs).select("doc_id", "block", F.size("tokens").alias("n_tokens"), F.array_intersect("tokens", vocabulary).alias("tokens")).filter(F.size("tokens") > 0)
+    lines = blocks_of(docs).select("doc_id", "block", F.size("tokens").alias("n_tokens"), F.array_intersect("tokens", vocabulary).alias("tokens"), F.lit(None).cast("array<string>").alias("ordered"))
+    passages = passages_of(docs, longest).select("doc_id", "block", F.size("ordered").alias("n_tokens"), F.array_intersect("ordered", vocabulary).alias("tokens"), "ordered")
+    known = stored(lines.union(passages).filter(F.size("tokens") >= least), "blocks")
     counts = known.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     order = tokens.join(counts, "token", "left").select("label", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token").alias("place"))
     need = F.greatest(F.ceil(F.lit(threshold) * F.size("t")).cast("int"), F.lit(1))
     sets = order.groupBy("label").agg(F.transform(F.sort_array(F.collect_list("place")), lambda x: x["token"]).alias("t")).withColumn("need", need)
     prefix = stored(sets, "templates").select("label", "t", "need", F.posexplode(F.slice("t", F.lit(1), F.size("t") - F.col("need") + 1)).alias("at", "token"))
     first = prefix.groupBy("token").agg(F.collect_list(F.struct("label", "t", "need", "at")).alias("met"))
-    met = known.select("*", F.explode("tokens").alias("token")).join(small(first), "token").select("doc_id", "block", "n_tokens", "tokens", F.explode("met").alias("m")).select("doc_id", "block", "n_tokens", "tokens", "m.*")
+    met = known.select("*", F.explode("tokens").alias("token")).join(small(first), "token").select("doc_id", "block", "n_tokens", "tokens", "ordered", F.explode("met").alias("m")).select("doc_id", "block", "n_tokens", "tokens", "ordered", "m.*")
     could = met.filter((F.col("n_tokens") >= F.col("need")) & (F.size("tokens") >= F.col("need")) & (F.size("t") - F.col("at") >= F.col("need")))
     # A template's tokens from the common place on bound the overlap, for its first common token stands there; only that one is compared.
     overlap = F.size(F.array_intersect("tokens", "t"))
     earliest = F.filter("t", lambda x: F.array_contains(F.col("tokens"), x))[0] == F.col("t")[F.col("at")]
-    return could.filter(earliest & (overlap >= F.col("need"))).select("doc_id", "block", "label", (overlap / F.size("t")).alias("containment"))
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("ordered") - longest, F.lit(0))), lambda i: F.size(F.array_intersect(F.slice("ordered", i + 1, longest), F.col("t"))))
+    best = could.filter(earliest & (overlap >= F.col("need"))).withColumn("both", F.when(F.col("ordered").isNull(), overlap).otherwise(F.array_max(runs)))
+    return best.filter(F.col("both") >= F.col("need")).select("doc_id", "block", "label", (F.col("both") / F.size("t")).alias("containment"))
 
 
 def _phrase_starts(array: Column, phrase: str) -> Column:
@@ -103,8 +129,8 @@ def phrase_places(docs: DataFrame, phrases: Mapping[str, str] = PHRASES) -> Data
 def license_scan(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, templates: Mapping[str, str] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
     """Per document doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score.
 
-    The score is the largest containment of a template in a line, and 1 where a
-    phrase stands; 0 where nothing was found. Null texts count as empty, and
+    The score is the largest containment of a template in a line or in a run of
+    words as long as the longest template, and 1 where a phrase stands; 0 where nothing was found. Null texts count as empty, and
     empty texts have no words and no labels.
     """
     blocks = similar_blocks(docs, templates, threshold).groupBy("doc_id").agg(F.collect_set("label").alias("near"), F.max("containment").alias("best"))

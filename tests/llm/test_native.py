@@ -121,6 +121,29 @@ def brute_licenses(data):
     return out
 
 
+def test_notices_over_several_lines(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that"
+    mpl = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy"
+    mit = "Released under\nthe MIT\nLicense"
+    lead = " ".join(f"w{i}" for i in range(45))
+    data = [(1, bsd), (2, mpl), (3, mit), (4, "released under\n" + lead + "\nthe license"), (5, "no notice\nhere"), *[(10 + k, f"{' '.join(lead.split()[:k])}\n{mpl}\n{lead}") for k in range(36)], (60, "\n\n"), (61, None)]
+    near = lambda **more: {i: (r["labels"], r["score"]) for i, r in rows(licenses.license_scan(spark.createDataFrame(data, "doc_id long, text string"), **more)).items()}
+    got = near()
+    assert got[1] == ("bsd", 1.0) and got[2] == ("mpl-2", 1.0) and got[3] == ("mit", 1.0) and got[4] == got[5] == got[60] == got[61] == ("", 0.0)
+    assert all(got[10 + k] == ("mpl-2", 1.0) for k in range(36))
+    longest, want = max(len(words(v)) for v in licenses.TEMPLATES.values()), {}
+    for d, t in data:
+        w = words(t)
+        blocks = [set(words(x)) for x in (t or "").split("\n")] + [set(w[i : i + longest]) for i in range(max(len(w) - longest, 0) + 1)]
+        best = {label: max(len(b & set(words(v))) / len(set(words(v))) for b in blocks) for label, v in licenses.TEMPLATES.items()}
+        found = {k: v for k, v in best.items() if v >= 0.8}
+        want[d] = (",".join(sorted(found)), max(found.values(), default=0.0))
+    assert got == want
+    shouted = near(templates={"mpl": "Mozilla Public License, Version 2.0", "own": "RELEASED under the MIT-License"}, threshold=0.75)
+    assert shouted[3] == ("own", 1.0) and shouted[2][0] == "mpl"
+    assert near(templates={})[1] == ("", 0.0)
+
+
 def test_license_scan(spark, docs, empty):
     assert rows(licenses.license_scan(docs)) == brute_licenses(DOCS)
     assert licenses.license_scan(empty).count() == 0
