@@ -172,6 +172,11 @@ def memory_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.nearest(memory, memory.filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 5).select("query_id", "vec_id", "place")
 
 
+def memory_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As memory_nearest, with every row as a query."""
+    return retrieval.neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"), 5).select("query_id", "vec_id", "place")
+
+
 def event_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.daily_bars(spark.read.parquet(f"{sf_dir}/events.parquet")).withColumn("amount", F.round("amount", 4))
 
@@ -182,7 +187,7 @@ def market_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.market_state(daily)
 
 
-QUERIES |= {f.__name__: f for f in (ic_report, quantile_spread, rank_stability, normalised, top_weights, backtest, backtest_metrics, winsorized, sigma_clipped, memory_nearest, event_bars, market_states)}
+QUERIES |= {f.__name__: f for f in (ic_report, quantile_spread, rank_stability, normalised, top_weights, backtest, backtest_metrics, winsorized, sigma_clipped, memory_nearest, memory_neighbours, event_bars, market_states)}
 ORACLE_SQL |= {
     "ic_report": f"""{_CELLS}, k AS (SELECT date, {_RANK.format(x='factor')} AS f, {_RANK.format(x='target')} AS t FROM cells),
         c AS (SELECT date, f - avg(f) OVER (PARTITION BY date) AS f, t - avg(t) OVER (PARTITION BY date) AS t FROM k),
@@ -205,5 +210,7 @@ ORACLE_SQL |= {
     "sigma_clipped": f"""{_panel('supplier')} SELECT date, instrument, round(CASE WHEN stddev_samp(close) OVER k IS NULL THEN close ELSE least(greatest(close, avg(close) OVER k - 1.5 * stddev_samp(close) OVER k), avg(close) OVER k + 1.5 * stddev_samp(close) OVER k) END, 6) AS close FROM p WINDOW k AS (PARTITION BY instrument)""",
     "memory_nearest": """WITH s AS (SELECT q.vec_id AS query_id, m.vec_id, round(list_cosine_similarity(CAST(m.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings m JOIN embeddings q ON q.vec_id < 5 AND q.vec_id != m.vec_id)
         SELECT query_id, vec_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS INTEGER) AS place FROM s QUALIFY place <= 5""",
+    "memory_neighbours": """WITH s AS (SELECT q.vec_id AS query_id, m.vec_id, round(list_cosine_similarity(CAST(m.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings m JOIN embeddings q ON q.vec_id != m.vec_id)
+        SELECT query_id, vec_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS INTEGER) AS place FROM s QUALIFY place <= 5""",
     "event_bars": """SELECT CAST(ts AS DATE) AS date, CAST(user_id AS VARCHAR) AS instrument, first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low, last(value ORDER BY ts, event_id) AS close, count(*) AS volume, round(sum(value), 4) AS amount FROM events GROUP BY ALL""",
 }

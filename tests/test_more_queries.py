@@ -145,3 +145,28 @@ def test_families_scores_and_tilt(spark):  # noqa: F811
 @pytest.mark.parametrize("name", sorted(set(ALL) - set(SQL) - {"d3_moments", "d4_moments", "d2_recursions"}))
 def test_other_queries_run(spark, name):  # noqa: F811
     assert ALL[name](spark, SF).count() > 0
+
+
+def test_neighbours_of_every_row(spark):
+    import numpy as np
+
+    from factorloom.operators import retrieval
+
+    rng = np.random.default_rng(3)
+    data = [(k, rng.integers(-2, 3, 3).astype(float).tolist()) for k in range(40)] + [(40, [0.0, 0.0, 0.0]), (41, None), (-5, [1.0, 1.0, 1.0])]
+    memory = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+    queries = memory.selectExpr("vec_id AS query_id", "embedding AS query")
+    want = {(r.query_id, r.vec_id, r.place) for r in retrieval.nearest(memory, queries, 4).collect()}
+    assert len(want) == 43 * 4
+    for rows in (7, 2048):
+        assert {(r.query_id, r.vec_id, r.place) for r in retrieval.neighbours(memory, 4, rows).collect()} == want
+    assert retrieval.neighbours(memory.limit(0), 4).count() == 0
+
+
+def test_every_row_gets_neighbours(spark):
+    from factorloom.plans import queries
+
+    path = "/root/testdata/sf0.001"
+    got = {tuple(r) for r in queries.memory_neighbours(spark, path).collect()}
+    assert len(got) == 5 * spark.read.parquet(f"{path}/embeddings.parquet").count()
+    assert {r for r in got if r[0] < 5} == {tuple(r) for r in queries.memory_nearest(spark, path).collect()}
