@@ -3,9 +3,9 @@
 The index holds postings (term, document, position) for the terms that the
 benchmark needs. Of every 13-word window of a benchmark item the term that is
 rarest in the corpus is looked up; a posting less the term's place in the item
-is the place where the item would start in the document, and the lists of the
-neighbouring terms, shifted alike, must agree with it before the whole item is
-laid against the document.
+is the place where the item would start in the document, and the words beside it
+there must agree with the item's before the whole item is laid against the
+document. This direct comparison replaces the intersection of shifted lists.
 """
 
 from __future__ import annotations
