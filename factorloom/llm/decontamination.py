@@ -1,11 +1,13 @@
 """Benchmark decontamination with a positional inverted index.
 
-The index holds postings (term, document, position) for the terms that the
-benchmark needs. Of every 13-word window of a benchmark item the term that is
-rarest in the corpus is looked up; a posting less the term's place in the item
-is the place where the item would start in the document, and the words beside it
-there must agree with the item's before the whole item is laid against the
-document. This direct comparison replaces the intersection of shifted lists.
+Of every 13-word window of a benchmark item the KEYS terms that are rarest in
+the corpus are looked up. The index holds their postings (term, document,
+position) and nothing of the texts. A posting less the term's place in the item
+is the place where the item would start in the document; lists shifted so are
+intersected: only places where as many rare terms agree as a window has are
+followed further. For these few the postings of all words of their documents
+are intersected with the item's words in the same way, which gives the runs of
+words that item and document share at that place, and so all windows.
 """
 
 from __future__ import annotations
@@ -13,9 +15,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import small, stored, texts, words
+from factorloom.llm.common import NO_ID, keyed, named, small, small_ids, stored, texts, words
 
-WINDOW = 13
+WINDOW, KEYS = 13, 3
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
@@ -24,32 +26,32 @@ def items_of(benchmark: DataFrame) -> DataFrame:
     return split.select(F.monotonically_increasing_id().alias("row"), "item_id", "item_words", F.size("item_words").alias("n_item"))
 
 
+def placed_words(docs: DataFrame) -> DataFrame:
+    """doc_id, pos (from 0) and term for every word of the texts."""
+    return texts(docs).select("doc_id", F.posexplode(words(F.col("text"))).alias("pos", "term"))
+
+
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """The index: doc_id, doc_words, pos (from 0) and term for each place of a term in `terms`; joined with a broadcast if `terms` is small."""
-    placed = texts(docs).select("doc_id", words(F.col("text")).alias("doc_words")).select("doc_id", "doc_words", F.posexplode("doc_words").alias("pos", "term"))
-    return placed.join(small(terms), "term")
+    """The index: doc_id, pos and term for each place of a term in `terms`, with what else `terms` has; joined with a broadcast if `terms` is small."""
+    return placed_words(docs).join(small(terms), "term")
 
 
-def _slice(array: str | Column, start: Column, length: Column) -> Column:
-    """`length` elements from `start` (counted from 0); fewer at the ends."""
-    begin = F.greatest(start, F.lit(0))
-    return F.slice(array, begin + 1, F.greatest(start + length - begin, F.lit(0)))
+def _length(n_item: str | Column, window: int) -> Column:
+    return F.least(n_item, F.lit(window))
 
 
-def anchors_of(items: DataFrame, counts: DataFrame, window: int = WINDOW) -> DataFrame:
-    """term, row, item_pos and what stands `half` words to its left and right, for the rarest term of every window of an item.
+def anchors_of(items: DataFrame, counts: DataFrame, window: int = WINDOW, keys: int = KEYS) -> DataFrame:
+    """term, row, item_pos and need for the `keys` rarest places of every window of an item; need is how many of them a window has.
 
     Windows with a term that the corpus lacks can't occur and have no anchor.
     """
-    length = F.least("n_item", F.lit(window))
+    length = _length("n_item", window)
     starts = items.select("row", "n_item", "item_words", F.explode(F.sequence(F.lit(0), F.col("n_item") - length)).alias("start"))
-    places = starts.select("row", "start", F.posexplode(_slice("item_words", F.col("start"), length)).alias("at", "term"), length.alias("length"))
-    ranked = places.join(counts, "term").groupBy("row", "start", "length").agg(F.count("*").alias("known"), F.min(F.struct("n", F.col("start") + F.col("at"), "term")).alias("rarest"))
-    chosen = ranked.filter("known = length").select("row", F.col("rarest.term").alias("term"), F.col("rarest.col2").alias("item_pos"), F.floor(F.col("length") / 2).cast("int").alias("half")).distinct()
-    full = chosen.join(items, "row")
-    left = F.when(F.col("item_pos") >= F.col("half"), _slice("item_words", F.col("item_pos") - F.col("half"), F.col("half")))
-    right = F.when(F.col("item_pos") + F.col("half") < F.col("n_item"), _slice("item_words", F.col("item_pos") + 1, F.col("half")))
-    return full.select("term", "row", "item_pos", "n_item", "half", left.alias("left_words"), right.alias("right_words"))
+    places = starts.select("row", "start", F.posexplode(F.slice("item_words", F.col("start") + 1, length)).alias("at", "term"), length.alias("length"))
+    place = F.struct("n", (F.col("start") + F.col("at")).alias("item_pos"), "term")
+    ranked = places.join(counts, "term").groupBy("row", "start", "length").agg(F.sort_array(F.collect_list(place)).alias("places"))
+    rarest = ranked.filter(F.size("places") == F.col("length")).select("row", F.least("length", F.lit(keys)).alias("need"), F.explode(F.slice("places", 1, keys)).alias("p"))
+    return rarest.select("p.term", "row", "p.item_pos", "need").distinct()
 
 
 def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -58,28 +60,24 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
     An item of fewer words than `window`, but not none, is one window. Items
     without words match nothing, nor do documents without. Rows repeated with
     their doc_id give their matches once. Items of one item_id are matched each,
-    and a place that several of them match is given once.
+    and a place that several of them match is given once. Rows without doc_id are
+    not looked at.
     """
     items = stored(items_of(benchmark), "items")
-    vocabulary = items.select(F.explode("item_words").alias("term")).distinct()
-    counts = postings(docs, vocabulary).groupBy("term").agg(F.count("*").alias("n"))
+    counts = postings(docs, items.select(F.explode("item_words").alias("term")).distinct()).groupBy("term").agg(F.count("*").alias("n"))
     anchors = stored(anchors_of(items, counts, window), "anchors")
-    half = F.col("half")
-    agrees = F.coalesce(_slice("doc_words", F.col("pos") - half, half) == F.col("left_words"), F.lit(False)) | F.coalesce(_slice("doc_words", F.col("pos") + 1, half) == F.col("right_words"), F.lit(False))
-    shift = F.col("pos") - F.col("item_pos")
-    begin = F.greatest(shift, F.lit(0))
-    found = (
-        postings(docs, anchors)
-        .filter(agrees)
-        .select("doc_id", "row", begin.alias("begin"), (begin - shift).alias("skipped"), _slice("doc_words", shift, F.col("n_item")).alias("there"))
-        .dropDuplicates(["doc_id", "row", "begin", "skipped"])
-        .join(small(items), "row")
-    )
-    same = F.zip_with("there", _slice("item_words", F.col("skipped"), F.size("there")), lambda a, b: a == b)
-    length = F.least("n_item", F.lit(window))
-    laid = found.select("doc_id", "item_id", "begin", length.alias("length"), same.alias("same")).filter(F.size("same") >= F.col("length"))
-    starts = F.filter(F.sequence(F.lit(0), F.size("same") - F.col("length")), lambda s: F.forall(_slice("same", s, F.col("length")), lambda x: x))
-    return laid.select("doc_id", "item_id", "begin", "length", F.explode(starts).alias("s")).select("doc_id", "item_id", (F.col("begin") + F.col("s")).alias("start"), "length").distinct()
+    shifted = postings(docs, anchors).select("doc_id", "row", (F.col("pos") - F.col("item_pos")).alias("shift"), "need")
+    agreed = shifted.groupBy("doc_id", "row", "shift", "need").agg(F.count("*").alias("n")).filter("n >= need")
+    candidates = stored(agreed.select("doc_id", "row", "shift"), "candidates")
+    each = F.posexplode("item_words").alias("item_pos", "term")
+    wanted = candidates.join(small(items), "row").select("doc_id", "row", "shift", each).withColumn("pos", F.col("shift") + F.col("item_pos"))
+    there = placed_words(docs.join(small_ids(candidates.select("doc_id").distinct()), "doc_id", "left_semi"))
+    met = wanted.join(there, ["doc_id", "pos", "term"]).groupBy("doc_id", "row", "shift").agg(F.sort_array(F.collect_set("item_pos")).alias("at"))
+    n, length = F.size("at"), F.col("length")
+    runs = F.filter(F.sequence(F.lit(0), n - length), lambda k: F.get("at", k + length - 1) - F.get("at", k) == length - 1)
+    starts = F.explode(F.transform(runs, lambda k: F.get("at", k) + F.col("shift")))
+    found = met.join(small(items.select("row", "item_id", _length("n_item", window).alias("length"))), "row").filter(n >= length)
+    return found.select("doc_id", "item_id", starts.alias("start"), "length").distinct()
 
 
 def proximity_matches(docs: DataFrame, pairs: DataFrame, within: int = 8) -> DataFrame:
@@ -90,7 +88,7 @@ def proximity_matches(docs: DataFrame, pairs: DataFrame, within: int = 8) -> Dat
     so no two lists are multiplied.
     """
     terms = pairs.select(F.explode(F.array("term_a", "term_b")).alias("term")).distinct()
-    index = stored(postings(docs, terms).select("term", "doc_id", "pos"), "postings")
+    index = stored(postings(docs, terms), "postings")
     stretch = F.floor(F.col("pos") / within)
     a = pairs.join(index.withColumnRenamed("term", "term_a"), "term_a").withColumn("stretch", F.explode(F.array(stretch - 1, stretch, stretch + 1))).withColumnRenamed("pos", "pos_a")
     b = index.select(F.col("term").alias("term_b"), "doc_id", F.col("pos").alias("pos_b"), stretch.alias("stretch"))
@@ -101,22 +99,30 @@ def proximity_matches(docs: DataFrame, pairs: DataFrame, within: int = 8) -> Dat
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, one_in: int = 20) -> DataFrame:
     """Per document doc_id, n_words, n_hit (words inside a match), n_items, items_sha256 and contaminated (at least one word in `one_in` is hit).
 
-    Null texts and texts without words have no hits and are not contaminated.
+    Null texts and texts without words have no hits and are not contaminated. Rows
+    repeated with their doc_id are returned each time, with their hits together;
+    rows without doc_id count as of one id. Empty tables give no rows or no hits;
+    columns beyond doc_id, item_id and text are not read.
     """
+    docs = keyed(docs)
     matches = stored(phrase_matches(docs, benchmark, window), "matches")
     hit = matches.select("doc_id", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("at")).distinct().groupBy("doc_id").agg(F.count("*").alias("hit"))
     items = matches.select("doc_id", F.col("item_id").cast("string").alias("item")).distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("item")).alias("items"), F.count("*").alias("n_items"))
     found = hit.join(items, "doc_id")
     counted = texts(docs).select("doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    n_hit = F.coalesce("hit", F.lit(0)).cast("long")
-    listed = F.coalesce("items", F.array().cast("array<string>"))
+    some = F.col("n_words") > 0  # rows that share an id may differ in text
+    n_hit = F.when(some, F.coalesce("hit", F.lit(0))).otherwise(0).cast("long")
+    listed = F.when(some & F.col("items").isNotNull(), F.col("items")).otherwise(F.array().cast("array<string>"))
     return counted.join(found, "doc_id", "left").select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"),
+        named(), "n_words", n_hit.alias("n_hit"), F.when(some, F.coalesce("n_items", F.lit(0))).otherwise(0).cast("long").alias("n_items"), F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"),
         ((n_hit > 0) & (n_hit * one_in >= F.col("n_words"))).alias("contaminated"),
     )
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, all their columns kept."""
-    bad = stored(contamination(docs, benchmark).filter("contaminated").select("doc_id").distinct(), "contaminated")
-    return docs.join(bad, "doc_id", "left_anti")
+    """The documents that are not contaminated, all their columns kept.
+
+    Nulls count as in contamination(); with an empty benchmark all documents stay.
+    """
+    bad = small_ids(stored(contamination(docs, benchmark).filter("contaminated").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("bad")).distinct(), "contaminated"))
+    return docs.join(bad, F.coalesce("doc_id", F.lit(NO_ID)) == bad["bad"], "left_anti")
