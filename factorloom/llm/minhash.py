@@ -22,14 +22,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import stored, texts
+from factorloom.llm.common import Scratch, once, small_ids, stored, texts
 from factorloom.llm.components import components
 from factorloom.llm.tokens import small_parts
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 6
-#: Times that the members of a bucket are compared with one of them before all are compared.
-HEAD_TURNS = 3
+#: Times that the members of an undecided bucket are compared with others of them, HEADS each time, before they are compared by rare shingles.
+HEAD_TURNS, HEADS = 1, 6
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _known: dict[str, int] = {}
@@ -147,34 +147,34 @@ def jaccard(a: bytes, b: bytes) -> float:
     return n / max(len(x) + len(y) - n, 1)
 
 
-def similar(pairs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose sets of shingles have at least the similarity `threshold`, which is computed exactly.
+def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The different rows of pairs (a, b and more) whose sets of shingles have at least the similarity `threshold`, which is computed exactly.
 
-    Only the sets of documents in pairs are brought together.
+    sets: doc_id, shingles. Both sides are joined with the same shuffle of the
+    sets, also where few pairs could be broadcast, so that the plan is the same at
+    every size; Spark splits the shuffled rows of a document in very many pairs.
     """
-    pairs = stored(pairs.select("a", "b").distinct(), "pairs")
-    needed = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "needed")
-    held = stored(signed.select("doc_id", "shingles").join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "held")
-    side = lambda c: held.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"{c}_set"))
+    side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"{c}_set"))
     near = F.least(F.length("a_set"), F.length("b_set")) >= threshold * F.greatest(F.length("a_set"), F.length("b_set"))
 
     @F.pandas_udf("double")
     def share(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([jaccard(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
-    return stored(pairs.join(side("a"), "a").join(side("b"), "b").filter(near).filter(share("a_set", "b_set") >= threshold).select("a", "b"), "similar")
+    both = pairs.distinct().hint("merge").join(side("a"), "a").hint("merge").join(side("b"), "b")
+    return both.filter(near).filter(share("a_set", "b_set") >= threshold).select(pairs.columns)
 
 
-def _undecided(crowded: DataFrame, groups: DataFrame) -> DataFrame:
+def _undecided(crowded: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame:
     """band, doc_id, grp for the members of buckets that hold documents of several components."""
     known = groups.withColumnRenamed("node", "doc_id")
-    members = stored(crowded.select("band", "doc_id").join(known, "doc_id", "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("grp")), "members")
+    members = scratch.store(crowded.select("band", "doc_id").join(known, "doc_id", "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("grp")), "members")
     mixed = members.groupBy("band").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).filter("low != high").select("band")
-    return stored(members.join(stored(mixed, "mixed"), "band"), "undecided")
+    return scratch.store(members.join(scratch.store(mixed, "mixed"), "band"), "undecided")
 
 
-def _rare_pairs(undecided: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of undecided documents in different components that may be similar enough.
+def _rare_pairs(undecided: DataFrame, sets: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b, and their components x, y) of undecided documents in different components that may be similar enough.
 
     Similar sets of n and m shingles have need(n, m) in common, so in any fixed
     order they share one among the first n - need + 1 and m - need + 1. The order
@@ -190,16 +190,15 @@ def _rare_pairs(undecided: DataFrame, signed: DataFrame, threshold: float) -> Da
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_parts(batches, 16):
-            sets = [np.frombuffer(x, "<u4").astype(np.int64) for x in b.column("shingles").to_pylist()]
-            sizes = np.array([len(x) for x in sets])
+            held = [np.frombuffer(x, "<u4").astype(np.int64) for x in b.column("shingles").to_pylist()]
+            sizes = np.array([len(x) for x in held])
             again = lambda v: pa.array(np.repeat(np.asarray(v), sizes))  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([again(b.column("doc_id")), again(b.column("grp")), again(sizes), pa.array(np.concatenate(sets))], ["doc_id", "grp", "n", "shingle"])
+            yield pa.RecordBatch.from_arrays([again(b.column("doc_id")), again(b.column("grp")), again(b.column("text")), again(sizes), pa.array(np.concatenate(held))], ["doc_id", "grp", "text", "n", "shingle"])
 
-    members = stored(undecided.select("doc_id", "grp").distinct(), "members")
-    sets = signed.select("doc_id", "shingles").join(members, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "grp", "shingles")
-    each = stored(sets.mapInArrow(unpack, "doc_id long, grp long, n long, shingle long"), "each")
-    often = stored(each.groupBy("shingle").agg(F.count("*").alias("often"), (F.min("grp") != F.max("grp")).alias("mixed")), "often")
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("often", "shingle"))
+    members = scratch.store(undecided.select("doc_id", "grp").distinct(), "members")
+    each = scratch.store(sets.join(members.hint("merge"), "doc_id").select("doc_id", "grp", F.xxhash64("shingles").alias("text"), "shingles").mapInArrow(unpack, "doc_id long, grp long, text long, n long, shingle long"), "each")
+    often = scratch.store(each.groupBy("shingle").agg(F.count("*").alias("often"), (F.min("grp") != F.max("grp")).alias("mixed")), "often")
+    place = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy("often", "shingle"))
     n = F.col("n")
     as_smaller = F.struct(size_class(n).alias("size"), F.lit(False).alias("larger"), (n - need(n, n) + 1).alias("until"))
     as_larger = F.transform(
@@ -209,56 +208,89 @@ def _rare_pairs(undecided: DataFrame, signed: DataFrame, threshold: float) -> Da
     ranked = each.join(often, "shingle").withColumn("place", place).filter("mixed").filter(F.col("place") <= n - F.ceil(threshold * n - 1e-9) + 1)
     roles = F.filter(F.concat(F.array(as_smaller), as_larger), lambda r: F.col("place") <= r["until"])
     key = ["shingle", "size"]
-    first = stored(ranked.withColumn("role", F.explode(roles)).select("shingle", "role.size", "role.larger", "doc_id", "grp", "n", "place"), "first")
+    first = scratch.store(ranked.withColumn("role", F.explode(roles)).select("shingle", "role.size", "role.larger", "doc_id", "grp", "n", "place"), "first")
     held = first.groupBy(*key, "grp").agg(F.count("*").alias("rows"))
-    top = stored(held.groupBy(key).agg(F.max_by("grp", F.struct("rows", "grp")).alias("top"), F.count("*").alias("groups")).filter("groups > 1").select(*key, "top"), "top")
-    left = stored(first.join(top, key).filter("grp != top").drop("top"), "left")
+    top = held.groupBy(key).agg(F.max_by("grp", F.struct("rows", "grp")).alias("top"), F.count("*").alias("groups")).filter("groups > 1").select(*key, "top")
+    left = scratch.store(first.join(scratch.store(top, "top"), key).filter("grp != top").drop("top"), "left")
     right = first.select(*key, (~F.col("larger")).alias("larger"), F.col("doc_id").alias("b"), F.col("grp").alias("other"), F.col("n").alias("m"), F.col("place").alias("there"))
     enough = F.least(n - F.col("place"), F.col("m") - F.col("there")) + 1 >= need(n, F.col("m"))
-    return left.join(right, [*key, "larger"]).filter("grp != other").filter(enough).select(F.greatest("doc_id", "b").alias("a"), F.least("doc_id", "b").alias("b"))
+    found = left.join(right, [*key, "larger"]).filter("grp != other").filter(enough)
+    swapped = F.col("doc_id") < F.col("b")
+    pick = lambda x, y: F.when(swapped, F.col(y)).otherwise(F.col(x))
+    return found.select(pick("doc_id", "b").alias("a"), pick("b", "doc_id").alias("b"), pick("grp", "other").alias("x"), pick("other", "grp").alias("y"))
+
+
+def _grown(groups: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """groups (node, component) after the components x and y of links are joined."""
+    up = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")), scratch)
+    moved = groups.join(up.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
+    return scratch.store(moved.select("node", F.coalesce("to", "component").alias("component")).union(up.select("node", "component")).distinct(), "groups")
+
+
+def _groups(docs: DataFrame, threshold: float, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Two tables: doc_id and same of every document, and same, first (smallest doc_id) and component (doc_id) of each different set of shingles."""
+    with Scratch(docs.sparkSession, "minhash") as scratch:
+        signed = scratch.store(signatures(docs.filter(F.col("doc_id").isNotNull()), bands, rows).withColumn("row", F.monotonically_increasing_id()), "signatures")
+        one = scratch.store(signed.groupBy("same").agg(F.min(F.struct("doc_id", "row")).alias("lead"), F.first("bands").alias("bands")).select("same", F.col("lead.doc_id").alias("first"), "lead.row", "bands"), "one")
+        placed = one.select(F.col("first").alias("doc_id"), "row", F.explode("bands").alias("band"))
+        buckets = scratch.store(placed.groupBy("band").agg(F.min("doc_id").alias("head"), F.min("row") != F.max("row")).toDF("band", "head", "shared").filter("shared").drop("shared"), "buckets")
+        crowded = scratch.store(placed.join(buckets, "band"), "crowded")
+        sets = scratch.store(signed.select("doc_id", "row", "shingles").join(crowded.select("row").distinct().hint("merge"), "row", "left_semi").select("doc_id", "shingles"), "sets")
+        links = scratch.store(similar(crowded.filter("doc_id != head").select(F.col("doc_id").alias("a"), F.col("head").alias("b")), sets, threshold), "links")
+        groups = components(links, scratch)
+        for turn in range(HEAD_TURNS + 1):
+            undecided = _undecided(crowded, groups, scratch)
+            if undecided.isEmpty():
+                break
+            if turn < HEAD_TURNS:
+                drawn = [F.min_by(F.struct("doc_id", "grp"), F.xxhash64("doc_id", "band", F.lit(HEADS * turn + k))) for k in range(HEADS)]
+                heads = scratch.store(undecided.groupBy("band").agg(F.array_distinct(F.array(*drawn)).alias("heads")), "heads")
+                met = undecided.join(heads, "band").select("doc_id", "grp", F.explode("heads").alias("head")).filter("grp != head.grp")
+                pairs = met.select(F.greatest("doc_id", "head.doc_id").alias("a"), F.least("doc_id", "head.doc_id").alias("b"), F.col("grp").alias("x"), F.col("head.grp").alias("y"))
+            else:
+                pairs = _rare_pairs(undecided, sets, threshold, scratch)
+            links = scratch.store(similar(pairs, sets, threshold), "links")
+            if not links.isEmpty():
+                groups = _grown(groups, links, scratch)
+        known = one.select("same", "first").join(groups.withColumnRenamed("node", "first"), "first", "left")
+        return stored(signed.select("doc_id", "same"), "members"), stored(known.select("same", "first", F.coalesce("component", "first").alias("component")), "groups")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per document: doc_id, class_id (smallest doc_id of its group), group_size and kept (that document).
 
     Documents with the same shingles are one from the start. In every band's
-    bucket all members are compared with the smallest. Buckets whose members are
-    in several components of these links are compared again, each with a head of
-    its own, HEAD_TURNS times. Members of those that are left are compared with all
-    members of other components with which they share one of their rarest
-    shingles, as any two similar sets do: no candidate pair is left out that is
-    similar and not joined by links already. Similarity is the exact Jaccard
-    similarity of sets of five-word shingles.
+    bucket all members are compared with the smallest. Members of buckets that
+    are then still in several components are compared with all members of other
+    components with which they share one of their rarest shingles, as any two
+    similar sets do (before that HEAD_TURNS times with HEADS others of their
+    bucket): no candidate pair is left out that is similar and not joined by
+    links already. Similarity is the exact Jaccard similarity of sets of
+    five-word shingles.
 
     Texts without words are alike only if equal; null counts as empty. Rows
-    repeated with their doc_id are returned each time, alike.
+    repeated with their doc_id are returned each time, alike; rows of one doc_id
+    with different texts each have the class of their text. A row without doc_id
+    is in no group: class_id null, group_size 1, kept. An empty table gives no
+    rows; columns beyond doc_id and text are not read.
     """
-    signed = stored(signatures(docs, bands, rows), "signatures")
-    same = stored(signed.groupBy("same").agg(F.min("doc_id").alias("first")), "same")
-    member = stored(signed.select("doc_id", "same").join(same, "same").select("doc_id", "first"), "member")
-    placed = signed.select("doc_id", "same", "bands").join(same, "same").filter("doc_id = first").select("doc_id", F.explode("bands").alias("band")).distinct()
-    buckets = stored(placed.groupBy("band").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n"), "buckets")
-    crowded = stored(placed.join(buckets, "band"), "crowded")
-    links = similar(crowded.filter("doc_id != head").select(F.col("doc_id").alias("a"), F.col("head").alias("b")), signed, threshold)
-    groups = stored(components(links), "groups")
-    for turn in range(HEAD_TURNS + 1):
-        undecided = _undecided(crowded, groups)
-        if undecided.isEmpty():
-            break
-        if turn < HEAD_TURNS:
-            head = undecided.groupBy("band").agg(F.min_by(F.struct("doc_id", "grp"), F.xxhash64("doc_id", "band", F.lit(turn))).alias("head"))
-            pairs = undecided.join(stored(head, "heads"), "band").filter("grp != head.grp").select(F.col("doc_id").alias("a"), F.col("head.doc_id").alias("b"))
-        else:
-            pairs = _rare_pairs(undecided, signed, threshold)
-        links = links.union(similar(pairs, signed, threshold))
-        groups = stored(components(links), "groups")
-
-    classes = stored(member.join(groups.withColumnRenamed("node", "first"), "first", "left").select("doc_id", F.coalesce("component", "first").alias("class_id")), "classes")
+    members, groups = _groups(docs, threshold, bands, rows)
+    classes = members.join(groups.select("same", F.col("component").alias("class_id")), "same").select("doc_id", "class_id")
     sizes = stored(classes.groupBy("class_id").agg(F.count("*").alias("group_size")), "sizes")
-    return classes.join(sizes, "class_id").select("doc_id", "class_id", "group_size", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    named = classes.join(sizes, "class_id").select("doc_id", "class_id", "group_size", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    unnamed = docs.filter(F.col("doc_id").isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
+    return named.union(unnamed)
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The documents, one of each group of near duplicates, all their columns kept."""
-    kept = near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """The documents, one of each group of near duplicates (the smallest doc_id), all their columns kept.
+
+    Only the ids of documents that go are brought to the texts. Null texts count
+    as empty; rows without doc_id stay; rows repeated with doc_id and text stay
+    once; where rows of one doc_id have different texts, all stay if one does. An
+    empty table stays empty.
+    """
+    members, groups = _groups(docs, SIMILARITY, BANDS, ROWS)
+    named = members.join(groups.select("same", F.col("component").alias("class_id")), "same")
+    gone = stored(named.groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("class_id")).alias("kept")).filter("not kept").select("doc_id"), "gone")
+    return once(docs.join(small_ids(gone), "doc_id", "left_anti").select(docs.columns))

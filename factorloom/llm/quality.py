@@ -14,7 +14,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import stored, texts
+from factorloom.llm.common import small_ids, stored, texts
 from factorloom.llm.tokens import small_parts
 
 #: Bound of the labelled rows that a fit uses; more labels are thinned by a hash of doc_id.
@@ -155,7 +155,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     """Per document doc_id, held_out, score and predicted.
 
     Empty and null texts are scored like others. Without labels of both kinds
-    every score is 0.5. Rows repeated with their doc_id are scored each time.
+    every score is 0.5. Rows repeated with their doc_id are scored each time; a row
+    without doc_id has no label and is not held out. An empty table gives no rows;
+    columns beyond doc_id, text and quality are not read.
     """
     measured = stored(document_statistics(docs), "statistics")
     model = fit(measured, labels)
@@ -167,10 +169,15 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.clip(s, 0, 1))], ["doc_id", "score"])
 
     scored = measured.mapInArrow(score, "doc_id long, score double")
-    return scored.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not rejected, all their columns kept."""
-    bad = stored(quality_scores(docs, labels).filter("predicted = 0").select("doc_id").distinct(), "rejected")
-    return docs.join(bad, "doc_id", "left_anti")
+    """The documents that are not rejected, all their columns kept.
+
+    Only the ids of documents that go are brought to the texts. Rows without
+    doc_id stay; of rows that share one all go if one is rejected. Without labels
+    of both kinds, and in an empty table, nothing goes.
+    """
+    bad = stored(quality_scores(docs, labels).filter("predicted = 0 and doc_id is not null").select("doc_id").distinct(), "rejected")
+    return docs.join(small_ids(bad), "doc_id", "left_anti").select(docs.columns)
