@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from factorloom.llm import decontamination, exact_dedup, minhash, packing, quality
-from factorloom.llm.common import stored, table
+from factorloom.llm.common import delete, shared_dir, table
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +36,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other, each over all rows of the last one, which is written as Parquet and read again."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """The stages one after the other, each over all rows of the last one, which is written as Parquet and read again; a stage's table is deleted once the next one's is written."""
+    docs, folder = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES:
+        last, folder = folder, shared_dir(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(folder)
+        docs = spark.read.parquet(folder)
+        if last:
+            delete(spark, last)
+    return docs
