@@ -6,6 +6,8 @@ result is null. Functions nest: each takes and gives columns.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
@@ -185,20 +187,55 @@ def ts_slope(x: Value, n: int) -> Column:
     return gated((F.sum(x * i).over(over(n)) - start * total - mean * total) / spread, x, n, _third_gate(n, 3))
 
 
+#: How far weights may fall within a block of rows; what lies before the block then counts for nothing in double precision.
+_FALL = 200 * math.log(10)
+
+
+def _last_known(y: Column) -> Column:
+    return F.last(y, ignorenulls=True).over(Window.partitionBy("instrument").orderBy("date").rowsBetween(Window.unboundedPreceding, 0))
+
+
+def ewm_adjusted(x: Value, alpha: float) -> Column:
+    """Mean of all cells so far with weights (1 - alpha) ** rows back; null cells have no weight but count as rows. A row without a cell repeats the last mean."""
+    x, keep = col(x).cast("double"), 1 - alpha
+    if keep <= 0:
+        return _last_known(x)
+    size = max(int(-_FALL / math.log(keep)), 1)
+    block = F.floor(_row() / size)
+    inside = Window.partitionBy("instrument", block).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("instrument").orderBy(block).rangeBetween(-1, -1)
+    grown = F.pow(F.lit(1 / keep), _row() - block * size)
+
+    def total(v: Column) -> Column:
+        own = F.coalesce(F.sum(v * grown).over(inside), F.lit(0.0)) / grown
+        return own + F.coalesce(F.max_by(own, "date").over(before), F.lit(0.0)) * keep / grown
+
+    return _last_known(F.try_divide(total(x), total(x.isNotNull().cast("double"))))
+
+
+def ewm_recursive(x: Value, alpha: float) -> Column:
+    """(1 - alpha) of the last mean and alpha of the cell; g null rows between weaken the last mean's weight to (1 - alpha) ** (g + 1), the two weights then being made to sum to 1. A row without a cell repeats the last mean."""
+    x, keep = col(x).cast("double"), 1 - alpha
+    if keep <= 0:
+        return _last_known(x)
+    known = F.when(x.isNotNull(), _row())
+    last = F.max(known).over(Window.partitionBy("instrument").orderBy("date").rowsBetween(Window.unboundedPreceding, -1))
+    old = F.pow(F.lit(keep), _row() - last)
+    share = F.when(x.isNull() | last.isNull(), 1.0).otherwise(F.greatest(old / (old + alpha), F.lit(1e-150)))
+    added = F.when(x.isNotNull(), F.when(last.isNull(), x).otherwise((1 - share) * x))
+    fall = -F.sum(F.ln(share)).over(Window.partitionBy("instrument").orderBy("date").rowsBetween(Window.unboundedPreceding, 0))
+    block = F.floor(fall / (_FALL / 4))  # what was known two blocks before has no weight left
+    fallen, inside = F.product(share), Window.partitionBy("instrument", block).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    own = F.coalesce(F.sum(added / fallen.over(inside)).over(inside), F.lit(0.0)) * fallen.over(inside)
+    carried = F.max_by(own, "date").over(Window.partitionBy("instrument").orderBy(block).rangeBetween(Window.unboundedPreceding, -1))
+    mean = own + F.coalesce(carried, F.lit(0.0)) * fallen.over(inside)
+    return F.when(F.coalesce(last, known).isNotNull(), mean)
+
+
 def ts_decay(x: Value, n: int) -> Column:
     """Exponential mean of span n without adjustment; a gap weakens what came before it."""
-    x = col(x)
-    alpha = 2 / (n + 1)
     past = Window.partitionBy("instrument").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    start = F.struct(F.lit(None).cast("double").alias("y"), F.lit(0).alias("gap"))
-
-    def step(s: Column, cell: Column) -> Column:
-        old = F.pow(F.lit(1 - alpha), s["gap"] + 1)
-        mixed = F.when(s["y"].isNull(), cell["x"]).otherwise((old * s["y"] + alpha * cell["x"]) / (old + alpha))
-        return F.when(cell["x"].isNull(), F.struct(s["y"].alias("y"), F.when(s["y"].isNull(), 0).otherwise(s["gap"] + 1).alias("gap"))).otherwise(F.struct(mixed.alias("y"), F.lit(0).alias("gap")))
-
-    value = F.aggregate(F.collect_list(F.struct(x.cast("double").alias("x"))).over(past), start, step, lambda s: s["y"])
-    return F.when(F.count(x).over(past) >= max(3, n // 2), value)
+    return F.when(F.count(col(x)).over(past) >= max(3, n // 2), ewm_recursive(x, 2 / (n + 1)))
 
 
 def sign(x: Value) -> Column:

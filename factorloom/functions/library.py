@@ -46,15 +46,81 @@ def TS_MAD(x: Value, n: int) -> Column:
     return (F.get(away, F.floor((m - 1) / 2).cast("int")) + F.get(away, F.floor(m / 2).cast("int"))) / 2
 
 
+def _rows_back(x: Value, n: int, largest: bool) -> Column:
+    """Rows back to the oldest greatest (least) cell of the window; a null counts as beyond all others, so the oldest null is taken where there is one. Null where no cell is known."""
+    x, i = col(x), core._row()
+    oldest_null = F.min(F.when(x.isNull(), i)).over(over(n))
+    at = F.max_by(i, F.struct(x, -i)) if largest else F.min_by(i, F.struct(x, i))
+    return F.when(F.count(x).over(over(n)) > 0, i - F.coalesce(oldest_null, at.over(over(n)))).cast("double")
+
+
+def TS_ARGMAX(x: Value, n: int = 5) -> Column:
+    """Rows back to the window's greatest cell; nulls as in HIGHDAY."""
+    return _rows_back(x, n, True)
+
+
+def TS_ARGMIN(x: Value, n: int = 5) -> Column:
+    return _rows_back(x, n, False)
+
+
 def HIGHDAY(x: Value, n: int) -> Column:
-    """Rows back to the oldest greatest cell of the window, and 1."""
-    i = core._row()
-    return i - F.max_by(i, F.struct(col(x), -i)).over(over(n)) + 1
+    """Rows back to the oldest greatest cell of the window, and 1; a null counts as beyond all others."""
+    return _rows_back(x, n, True) + 1
 
 
 def LOWDAY(x: Value, n: int) -> Column:
-    i = core._row()
-    return i - F.min_by(i, F.struct(col(x), i)).over(over(n)) + 1
+    """Rows back to the oldest least cell of the window, and 1; a null counts as beyond all others."""
+    return _rows_back(x, n, False) + 1
+
+
+def MAX(*values: Value) -> Column:
+    """The greatest of the row's values; null if one is."""
+    return _all_known(F.greatest(*map(col, values)), values)
+
+
+def MIN(*values: Value) -> Column:
+    return _all_known(F.least(*map(col, values)), values)
+
+
+def _all_known(best: Column, values: tuple[Value, ...]) -> Column:
+    known = F.lit(True)
+    for v in values:
+        known = known & col(v).isNotNull()
+    return F.when(known, best)
+
+
+def TS_COVARIANCE(x: Value, y: Value | list[float], n: int = 5) -> Column:
+    """Sample covariance of two columns' pairs, two at least; or of a window with the first values of a fixed sequence, whose length is then the window."""
+    if isinstance(y, list):
+        n, pairs = len(y), _with_sequence(x, y)
+        m = F.size(pairs)
+        mean = lambda f: F.aggregate(pairs, F.lit(0.0), lambda s, p: s + p[f]) / m
+        product = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + p["v"] * p["w"])
+        return F.when(m >= 2, (product - m * mean("v") * mean("w")) / (m - 1))
+    a, b = core._pairwise(x, y)
+    return core.gated(F.covar_samp(a, b).over(over(n)), a, n, 2)
+
+
+def _with_sequence(x: Value, y: list[float]) -> Column:
+    """The window's cells beside a fixed sequence's first values, oldest first."""
+    cells = F.collect_list(F.struct(col(x).cast("double").alias("x"))).over(over(len(y)))
+    return F.zip_with(cells, F.slice(F.array(*[F.lit(float(w)) for w in y]), F.lit(1), F.size(cells)), lambda c, w: F.struct(c["x"].alias("v"), w.alias("w")))
+
+
+def TS_MAX(x: Value, n: int = 5) -> Column:
+    return F.max(col(x)).over(over(n))
+
+
+def TS_MIN(x: Value, n: int = 5) -> Column:
+    return F.min(col(x)).over(over(n))
+
+
+def TS_MEAN(x: Value, n: int = 5) -> Column:
+    return F.avg(col(x)).over(over(n))
+
+
+def TS_SUM(x: Value, n: int = 5) -> Column:
+    return F.sum(col(x)).over(over(n))
 
 
 def TS_CORR(x: Value, y: Value, n: int = 5) -> Column:
@@ -79,16 +145,9 @@ def LOG(x: Value) -> Column:
     return F.log1p(x)
 
 
-def _adjusted(x: Value, alpha: float) -> Column:
-    keep = 1 - alpha
-    past = Window.partitionBy("instrument").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w"))
-    return F.aggregate(F.collect_list(col(x).cast("double")).over(past), zero, lambda a, v: F.struct((a["s"] * keep + v).alias("s"), (a["w"] * keep + 1).alias("w")), lambda a: F.try_divide(a["s"], a["w"]))
-
-
 def EMA(x: Value, n: int) -> Column:
-    """Exponential mean of span n with adjusted weights."""
-    return _adjusted(x, 2 / (n + 1))
+    """Exponential mean of span n with adjusted weights; null rows count as time."""
+    return core.ewm_adjusted(x, 2 / (n + 1))
 
 
 def MACD(x: Value, short: int = 12, long: int = 26) -> Column:
@@ -141,7 +200,7 @@ def SUMAC(x: Value, n: int = 10) -> Column:
 
 def SMA(x: Value, m: int, n: float | None = None) -> Column:
     """The mean of m rows; with n, the exponential mean of weight n / m with adjusted weights."""
-    return F.avg(col(x)).over(over(m)) if n is None else _adjusted(x, n / m)
+    return F.avg(col(x)).over(over(m)) if n is None else core.ewm_adjusted(x, n / m)
 
 
 def _by_weights(x: Value, weights: list[float], total: bool) -> Column:

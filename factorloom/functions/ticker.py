@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from factorloom.functions import core
 from factorloom.functions.core import Value, _pairwise, _row, col, over
 
+
 def _history() -> Window:
     return Window.partitionBy("instrument")
 
@@ -99,7 +100,13 @@ def safe_denominator(x: Value) -> Column:
     return F.when(col(x) == 0, 0.0001).otherwise(col(x))
 
 
+def ema(x: Value, n: int) -> Column:
+    """Exponential mean of span n without adjustment, from the first known cell on."""
+    return core.ewm_recursive(x, 2 / (n + 1))
+
+
 def atr(n: int = 14) -> Column:
-    """Exponential mean of the largest of high - low, high - last close, low - last close, without absolute values."""
-    last = F.coalesce(F.col("high") - core.delay("close", 1), F.lit(0.0)), F.coalesce(F.col("low") - core.delay("close", 1), F.lit(0.0))
-    return core.ts_decay(F.greatest(F.coalesce(F.col("high") - F.col("low"), F.lit(0.0)), *last), n)
+    """Exponential mean of the largest of high - low, high - last close, low - last close, without absolute values; an unknown gap counts as 0, an unknown range as no cell."""
+    gap = lambda x: F.coalesce(F.col(x) - core.delay("close", 1), F.lit(0.0))
+    span = F.col("high") - F.col("low")
+    return ema(F.when(span.isNotNull(), F.greatest(span, gap("high"), gap("low"))), n)

@@ -61,11 +61,19 @@ def backtest(prices: DataFrame, targets: DataFrame, hold: int, cost: float = 0.0
     return net.select("date", "ret", F.product(1 + F.col("ret")).over(Window.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)).alias("nav"), "turnover")
 
 
-def metrics(daily: DataFrame, periods: int = 252, risk_free: float = 0.02) -> DataFrame:
-    """One row: total and annual return, volatility, Sharpe, largest drawdown, Calmar, win rate, mean turnover."""
-    peak = F.max("nav").over(Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0))
-    r = daily.withColumn("down", F.col("nav") / peak - 1).agg(
-        F.count("*").alias("n"), F.max_by("nav", "date").alias("nav"), F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("dev"), F.min("down").alias("max_drawdown"), F.avg(F.when(F.col("ret") > 0, 1.0).otherwise(0.0)).alias("win_rate"), F.avg("turnover").alias("avg_turnover")
+def metrics(daily: DataFrame, periods: int = 252, risk_free: float = 0.02, hold: int | None = None) -> DataFrame:
+    """One row: total and annual return, volatility, Sharpe, largest drawdown, Calmar, win rate, mean turnover of (date, ret, nav, turnover).
+
+    The last date has no return of its own and counts in none of the figures of
+    returns. With `hold` the turnover is the mean over the rebalances, every
+    hold-th date after the first.
+    """
+    every = Window.orderBy("date")  # one row per date
+    peak = F.max("nav").over(every.rowsBetween(Window.unboundedPreceding, 0))
+    placed = daily.withColumn("i", F.row_number().over(every) - 1).withColumn("down", F.col("nav") / peak - 1).withColumn("last", F.lead("date").over(every).isNull())
+    moved = F.when((F.col("i") > 0) & (F.col("i") % hold == 0), F.col("turnover")) if hold else F.col("turnover")
+    r = placed.withColumn("moved", moved).filter("not last or i = 0").agg(
+        F.count("*").alias("n"), F.max_by("nav", "date").alias("nav"), F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("dev"), F.min("down").alias("max_drawdown"), F.avg(F.when(F.col("ret") > 0, 1.0).otherwise(0.0)).alias("win_rate"), F.coalesce(F.avg("moved"), F.lit(0.0)).alias("avg_turnover")
     )
     annual = F.pow("nav", F.lit(float(periods)) / F.col("n")) - 1
     sharpe = F.try_divide((F.col("mean") - risk_free / periods) * periods**0.5, F.col("dev"))
@@ -123,3 +131,50 @@ def excess_nav(nav: DataFrame, benchmark: DataFrame) -> DataFrame:
     both = nav.join(benchmark, "date", "left").withColumn("level", level)
     first = lambda c: F.first(c).over(ahead)
     return both.select("date", (F.col("nav") / first("nav") - 1).alias("cumulative"), (F.col("level") / first("level") - 1).alias("market")).withColumn("excess", F.col("cumulative") - F.col("market"))
+
+
+def rebalance_dates(scores: DataFrame, universe: int) -> DataFrame:
+    """The dates with scores of at least a tenth of the universe's names (one at least); where there is none, those with any."""
+    daily = scores.filter("score is not null").groupBy("date").agg(F.count("*").alias("n"))
+    enough = daily.filter(F.col("n") >= max(1, universe // 10)).select("date")
+    return daily.select("date") if enough.isEmpty() else enough
+
+
+def build(scores: DataFrame, n: int, suspended: DataFrame | None = None, proportional: bool = False) -> DataFrame:
+    """date, instrument, weight: the n best scores of each date but for suspended names (date, instrument); n is at most the number of scores before these go, and dates with fewer left are skipped."""
+    day = Window.partitionBy("date")
+    known = scores.filter("score is not null").withColumn("_n", F.least(F.lit(n), F.count("*").over(day)))
+    free = known.join(suspended.select("date", "instrument"), ["date", "instrument"], "left_anti") if suspended is not None else known
+    full = free.withColumn("_m", F.count("*").over(day)).filter(F.col("_m") >= F.col("_n"))
+    return top_n(full.select("date", "instrument", "score"), n, proportional)
+
+
+#: Names of weightings; any other is by score.
+WEIGHTINGS = {"equal": False, "equal_weight": False, "score": True, "score_weighted": True, "proportional": True}
+
+
+def weighted(scores: DataFrame, n: int, how: str = "score", most: float | None = None, least: float = 0.0) -> DataFrame:
+    weights = top_n(scores, n, WEIGHTINGS.get(how, True))
+    return weights if most is None else capped(weights, most, least)
+
+
+def held_returns(weights: DataFrame, panel: DataFrame, least: int = 3) -> DataFrame:
+    """date, ret: what weights set on a date return until the next such date, over names priced on both, the weights made to sum to 1; dates with fewer than `least` such names are left out."""
+    dates = weights.select("date").distinct().withColumn("next", F.lead("date").over(Window.orderBy("date")))
+    prices = panel.filter("close is not null").select("date", "instrument", "close")
+    now = weights.join(dates.filter("next is not null"), "date").join(prices, ["date", "instrument"])
+    both = now.join(prices.select(F.col("date").alias("next"), "instrument", F.col("close").alias("then")), ["next", "instrument"])
+    daily = both.groupBy("date").agg(F.count("*").alias("n"), F.try_divide(F.sum(F.col("weight") * (F.try_divide("then", "close") - 1)), F.sum("weight")).alias("ret"))
+    return daily.filter(F.col("n") >= least).select("date", "ret")
+
+
+def simple_performance(weights: DataFrame, panel: DataFrame, periods: int = 252) -> DataFrame:
+    """One row of held_returns(), rounded to four places: total and annual return and volatility, their ratio, the size of the largest drawdown, Calmar, win rate, mean turnover, numbers of returns and of portfolios."""
+    past = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)  # one row per date
+    r = held_returns(weights, panel).withColumn("nav", F.product(1 + F.col("ret")).over(past)).withColumn("down", F.col("nav") / F.max("nav").over(past) - 1)
+    s = r.agg(F.count("*").alias("n_periods"), F.max_by("nav", "date").alias("nav"), F.stddev_samp("ret").alias("dev"), F.abs(F.min("down")).alias("max_drawdown"), F.avg((F.col("ret") > 0).cast("double")).alias("win_rate"))
+    moved = turnover(weights).agg(F.sum("turnover").alias("moved")).join(weights.agg(F.count_distinct("date").alias("n_portfolios")))
+    annual, vol = F.pow("nav", F.lit(float(periods)) / F.col("n_periods")) - 1, F.col("dev") * periods**0.5
+    ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    out = {"total_return": F.col("nav") - 1, "annual_return": annual, "volatility": vol, "sharpe": ratio(annual, vol), "max_drawdown": F.col("max_drawdown"), "calmar": ratio(annual, F.col("max_drawdown")), "win_rate": F.col("win_rate"), "avg_turnover": ratio(F.col("moved"), F.col("n_portfolios"))}
+    return s.join(moved).select(*[F.round(c, 4).alias(k) for k, c in out.items()], "n_periods", "n_portfolios")

@@ -1,8 +1,10 @@
-"""Retrieval of stored factors by the similarity of their embeddings, and the state of a market."""
+"""Retrieval of stored vectors by their similarity."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,9 +17,21 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+#: Queries that are compared with all stored rows at once.
+BLOCK = 500
+
+
+def in_blocks(queries: DataFrame, key: str, compare: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What `compare` gives for a stated set of queries, which it gets in broadcast blocks of about BLOCK rows, dealt by a hash of their key."""
+    n = max(1, math.ceil(queries.count() / BLOCK))
+    block = F.pmod(F.xxhash64(key), F.lit(n))
+    return reduce(DataFrame.unionByName, (compare(F.broadcast(queries.filter(block == b))) for b in range(n)))
+
+
 def nearest(memory: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, vec_id, similarity, place: the k stored vectors most like each of a stated, small set of queries (ties by vec_id)."""
-    scored = memory.join(F.broadcast(queries)).filter("vec_id != query_id").select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("query")), 6).alias("similarity"))
+    """query_id, vec_id, similarity, place: the k stored vectors most like each of a stated set of queries (ties by vec_id); neighbours() takes every row as one."""
+    compare = lambda some: memory.join(some).filter("vec_id != query_id").select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("query")), 6).alias("similarity"))
+    scored = in_blocks(queries, "query_id", compare)
     return scored.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))).filter(F.col("place") <= k)
 
 
@@ -62,12 +76,3 @@ def neighbours(memory: DataFrame, k: int, block_rows: int = 2048) -> DataFrame:
     each = asked.groupBy("block", "other").cogroup(held_by.groupBy("for_block", "m_block")).applyInPandas(best, "query_id long, vec_id long, similarity double")
     scored = each.withColumn("similarity", F.when(~F.isnan("similarity"), F.col("similarity")))
     return scored.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))).filter(F.col("place") <= k)
-
-
-def market_state(returns: DataFrame, n: int = 20) -> DataFrame:
-    """date, volatility, trend of the mean return (date, ret) over n rows, each as a label."""
-    w = Window.orderBy("date").rowsBetween(1 - n, 0)
-    dev, mean = F.stddev_samp("ret").over(w), F.avg("ret").over(w)
-    volatility = F.when(dev > 0.02, "high").when(dev < 0.01, "low").otherwise("medium")
-    trend = F.when(mean > 0.001, "bull").when(mean < -0.001, "bear").otherwise("sideways")
-    return returns.select("date", F.when(dev.isNotNull(), volatility).alias("volatility"), trend.alias("trend"))

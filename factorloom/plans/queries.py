@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factorloom.functions import core, library
-from factorloom.operators import portfolio, retrieval, scoring
+from factorloom.operators import memory, portfolio, retrieval, scoring
 from factorloom.sources import panels
 from factorloom.streaming import bars as stream
 
@@ -182,12 +182,20 @@ def event_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def market_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dense = panels.densify(panels.brand_panel(spark, sf_dir))
-    daily = dense.select("date", panels.padded_return().alias("r")).groupBy("date").agg(F.avg("r").alias("ret"))
-    return retrieval.market_state(daily)
+    """The regimes of the mean close of brands alone."""
+    return memory.market_state(memory.market_proxy(panels.densify(panels.brand_panel(spark, sf_dir))))
 
 
 QUERIES |= {f.__name__: f for f in (ic_report, quantile_spread, rank_stability, normalised, top_weights, backtest, backtest_metrics, winsorized, sigma_clipped, memory_nearest, memory_neighbours, event_bars, market_states)}
+#: The SQL of market regimes over a table m (date, close, rate, matching).
+REGIMES = """r AS (SELECT *, row_number() OVER o AS k, close / nullif(lag(close) OVER o, 0) - 1 AS r, lag(close, 4) OVER o AS was FROM m WINDOW o AS (ORDER BY date)),
+    s AS (SELECT *, CASE WHEN k > 20 THEN stddev_samp(r) OVER (ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) * sqrt(252) END AS dev,
+        avg(close) OVER (ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) / avg(close) OVER (ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS ratio FROM r)
+    SELECT date, CASE WHEN dev IS NULL THEN 'medium' WHEN dev < 0.15 THEN 'low' WHEN dev < 0.25 THEN 'medium' ELSE 'high' END AS volatility,
+        CASE WHEN rate IS NULL THEN 'normal' WHEN rate < 2 THEN 'abundant' WHEN rate < 3.5 THEN 'normal' ELSE 'tight' END AS liquidity,
+        CASE WHEN k < 5 THEN 'sideways' WHEN k < 60 THEN CASE WHEN close > was THEN 'bull' ELSE 'bear' END WHEN ratio > 1.02 THEN 'bull' WHEN ratio < 0.98 THEN 'bear' ELSE 'sideways' END AS trend,
+        CASE WHEN matching IS NULL THEN 'medium' WHEN matching < 0.3 THEN 'low' WHEN matching < 0.6 THEN 'medium' ELSE 'high' END AS correlation FROM s"""
+ORACLE_SQL["market_states"] = f"{_panel('brand')}, m AS (SELECT date, avg(close) AS close, NULL AS rate, NULL AS matching FROM g GROUP BY date HAVING avg(close) IS NOT NULL), {REGIMES}"
 ORACLE_SQL |= {
     "ic_report": f"""{_CELLS}, k AS (SELECT date, {_RANK.format(x='factor')} AS f, {_RANK.format(x='target')} AS t FROM cells),
         c AS (SELECT date, f - avg(f) OVER (PARTITION BY date) AS f, t - avg(t) OVER (PARTITION BY date) AS t FROM k),

@@ -35,14 +35,18 @@ def supplier_industry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def densify(panel: DataFrame) -> DataFrame:
-    """A row for every date that any instrument has and every instrument, within nobody's absence: cells that the panel lacks are null.
+    """A row for every date that any instrument has and every instrument: cells that the panel lacks are null. A cell stands in the panel once.
 
-    Every instrument explodes the one list of trading dates, whose size is that
-    of the calendar and not of the data.
+    Each instrument's cells come together by date, and the calendar, which comes
+    from the same shuffled rows, is laid over them: the panel is made once. Both
+    have the size of the calendar, not of the data.
     """
-    dates = F.broadcast(panel.agg(F.array_sort(F.collect_set("date")).alias("dates")))
-    grid = panel.select("instrument").distinct().join(dates).select("instrument", F.explode("dates").alias("date"))
-    return grid.join(panel, ["date", "instrument"], "left")
+    names = [c for c in panel.columns if c not in ("date", "instrument")]
+    held = panel.groupBy("instrument").agg(F.map_from_entries(F.collect_list(F.struct("date", F.struct(*names).alias("cell")))).alias("held"))
+    dates = held.select(F.explode(F.map_keys("held")).alias("date")).agg(F.array_sort(F.collect_set("date")).alias("dates"))
+    row = lambda d: F.struct(d.alias("date"), F.try_element_at("held", d).alias("cell"))
+    full = held.join(F.broadcast(dates)).select("instrument", F.explode(F.transform("dates", row)).alias("row"))
+    return full.select("row.date", "instrument", *[F.col(f"row.cell.{c}").alias(c) for c in names])
 
 
 def by_instrument() -> Window:
