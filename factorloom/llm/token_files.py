@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import shared_dir, small, stored, texts
+from factorloom.llm.common import parts_for, shared_dir, small, stored, texts
 from factorloom.llm.tokens import END_ID, coder, crc32, default_tokenizer, small_parts
 
 SEQUENCE, BATCH = 2048, 64
@@ -21,7 +21,9 @@ _FILE = "part int, path string, n_docs long, n_ids long"
 
 
 def _filesystem(path: str) -> tuple[pa.fs.FileSystem, str]:
-    return pa.fs.FileSystem.from_uri(path)
+    """The file system and the path in it; local files are mapped."""
+    fs, top = pa.fs.FileSystem.from_uri(path)
+    return (pa.fs.LocalFileSystem(use_mmap=True), top) if isinstance(fs, pa.fs.LocalFileSystem) else (fs, top)
 
 
 class _Writer:
@@ -82,10 +84,12 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
     is one file of rows of `sequence` ids with a mask (false in the padding of the
     file's last row) and one file with the documents' places in it. A null text
     counts as empty and has the end id alone; rows repeated with their doc_id
-    follow each other. Ids take 2 bytes where the vocabulary allows it.
+    follow each other, by their texts, and rows without doc_id come first. An empty
+    table gives no files; columns beyond doc_id and text are not read. Ids take 2
+    bytes where the vocabulary allows it. There are as many files as shuffle
+    partitions, or as 256 MB of text each ask for.
     """
     path = tokenizer or default_tokenizer()
-    spark = docs.sparkSession
     fs, top = _filesystem(folder)
     fs.create_dir(top, recursive=True)
 
@@ -100,30 +104,76 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
             name = out.close()
             yield pa.RecordBatch.from_arrays([pa.array([context.partitionId()], pa.int32()), pa.array([name]), pa.array([out.n_docs]), pa.array([out.n_ids])], ["part", "path", "n_docs", "n_ids"])
 
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    ordered = texts(docs).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    ordered = texts(docs).repartitionByRange(parts_for(docs), "doc_id").sortWithinPartitions("doc_id", "text")
     return stored(ordered.mapInArrow(write, _FILE), "token-files")
 
 
+class TokenFile:
+    """Random access to one stream of (ids, mask) rows.
+
+    All batches but the last have the same number of rows of one width, without
+    nulls, and so the same size as messages: the offset of each is computed, and
+    only the batch asked for is read. Of a local file that is mapped nothing is
+    copied.
+    """
+
+    def __init__(self, fs: pa.fs.FileSystem, path: str):
+        self.source = fs.open_input_file(path)
+        self.schema = pa.ipc.read_schema(pa.ipc.read_message(self.source))
+        self.first = self.source.tell()
+        self.size, self.end = 0, self.source.size()
+        self.held, self.batch = 0, self._read(self.first)
+        self.size = self.source.tell() - self.first
+        self.rows = self.batch.num_rows
+        self.sequence = self.schema.field("ids").type.list_size
+
+    def _read(self, offset: int) -> pa.RecordBatch:
+        if not self.first <= offset < self.end - 8:  # where the mark of the stream's end stands
+            raise IndexError(offset)
+        self.source.seek(offset)
+        message = pa.ipc.read_message(self.source)
+        return pa.ipc.read_record_batch(message, self.schema)
+
+    def at(self, batch: int) -> pa.RecordBatch:
+        if batch != self.held:
+            self.batch, self.held = self._read(self.first + batch * self.size), batch
+        return self.batch
+
+    def row(self, row: int) -> tuple[np.ndarray, np.ndarray]:
+        """ids (not copied) and mask of one row."""
+        batch = self.at(row // self.rows)
+        k = row % self.rows
+        if k >= batch.num_rows:
+            raise IndexError(row)
+        return batch.column("ids")[k].values.to_numpy(), batch.column("mask")[k].values.to_numpy(zero_copy_only=False)
+
+    def ids(self, first: int, n: int) -> np.ndarray:
+        """The n ids from place `first` on; copied only where they go over several batches. Ids that the mask leaves out are an error."""
+        width, parts = self.rows * self.sequence, []
+        for k in range(first // width, (first + n - 1) // width + 1):
+            batch, low, high = self.at(k), max(first - k * width, 0), min(first + n - k * width, width)
+            if batch.column("mask").values[low:high].true_count != high - low:
+                raise ValueError(f"ids {first} to {first + n} go beyond the mask")
+            parts.append(batch.column("ids").values.to_numpy(zero_copy_only=True)[low:high])
+        return parts[0] if len(parts) == 1 else np.concatenate(parts)
+
+
 def read_documents(files: DataFrame, folder: str) -> DataFrame:
-    """The documents that the files hold: part, doc_id, first (place in its file), n_tokens, ids_crc32. Each file is mapped and read by one task."""
+    """The documents that the files hold: part, doc_id, first (place in its file), n_tokens, ids_crc32. Each is looked up by its place; a file is read by one task."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = _filesystem(folder)
         for b in batches:
             for part, name in zip(b.column("part").to_pylist(), b.column("path").to_pylist(), strict=True):
-                with fs.open_input_stream(name) as ids, fs.open_input_stream(name.replace(".ids.", ".docs.")) as docs:
-                    rows = (x.column("ids").values.to_numpy(zero_copy_only=True)[: x.column("mask").values.true_count] for x in pa.ipc.open_stream(ids))
-                    held = np.empty(0, "<u2")
+                held = TokenFile(fs, name)
+                with fs.open_input_stream(name.replace(".ids.", ".docs.")) as docs:
                     for d in pa.ipc.open_stream(docs):
                         sums = []
-                        for size in d.column("n_tokens").to_pylist():
-                            while len(held) < size:
-                                held = np.concatenate([held, next(rows)])
-                            sums.append(crc32(held[:size]))
-                            if held[size - 1] != END_ID:
+                        for first, n in zip(d.column("first").to_pylist(), d.column("n_tokens").to_pylist(), strict=True):
+                            ids = held.ids(first, n)
+                            if ids[-1] != END_ID:
                                 raise ValueError(f"{name}: a document lacks its end")
-                            held = held[size:]
+                            sums.append(crc32(ids))
                         yield pa.RecordBatch.from_arrays([pa.array([part] * d.num_rows, pa.int32()), d.column("doc_id"), d.column("first"), d.column("n_tokens"), pa.array(sums, pa.int64())], ["part", "doc_id", "first", "n_tokens", "ids_crc32"])
 
     n = max(files.count(), 1)
@@ -131,13 +181,8 @@ def read_documents(files: DataFrame, folder: str) -> DataFrame:
 
 
 def sequence_at(folder: str, path: str, row: int) -> tuple[np.ndarray, np.ndarray]:
-    """ids and mask of one row of a file of a local folder, without copying: the file is mapped and its batches are looked up."""
-    with pa.memory_map(path) as source:
-        for batch in pa.ipc.open_stream(source):
-            if row < batch.num_rows:
-                return batch.column("ids")[row].values.to_numpy(), batch.column("mask")[row].values.to_numpy(zero_copy_only=False)
-            row -= batch.num_rows
-    raise IndexError(row)
+    """ids and mask of one row of a file below `folder`, whose batch is found by its computed offset."""
+    return TokenFile(_filesystem(folder)[0], path).row(row)
 
 
 def token_files(docs: DataFrame, tokenizer: str | None = None, folder: str | None = None) -> DataFrame:

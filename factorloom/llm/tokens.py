@@ -36,6 +36,11 @@ class WordCoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        sample = ["Two  Words", "two words", "two\nwords", "two words "]
+        whole, *others = ([*e.ids] for e in self.tokenizer.encode_batch(sample, add_special_tokens=False))
+        apart = [i for e in self.tokenizer.encode_batch(["two", "words"], add_special_tokens=False) for i in e.ids]
+        if any(x != whole for x in (*others, apart)):
+            raise ValueError(f"{path}: the tokenizer has upper case, keeps white space or joins across it")
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
