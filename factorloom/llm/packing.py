@@ -93,8 +93,10 @@ def pack(items: DataFrame, n_docs: int, capacity: int = CAPACITY, group_docs: in
 def packed_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
     """Where every piece of every document goes: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Only lengths and checksums are shuffled; sequences() brings ids and places together. Rows repeated with
-    their doc_id are packed each time.
+    Only lengths and checksums are shuffled; sequences() brings ids and places
+    together. A null text counts as empty. Rows repeated with their doc_id, and rows
+    without one, are packed each time, in one group. An empty table gives no rows;
+    columns beyond doc_id and text are not read.
     """
     kept = stored(pieces(docs, capacity, tokenizer, with_ids=False).drop("ids"), "pieces")
     return pack(kept, kept.filter("start = 0").count(), capacity)

@@ -171,7 +171,8 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RU
     """Per document doc_id and `spans`, an array of (kind, start, end) ordered by start, then by the rules' order.
 
     Null texts count as empty; empty texts have no spans. Rows repeated with
-    their doc_id are scanned each time.
+    their doc_id, and rows without one, are scanned each time. An empty table gives
+    no rows; columns beyond doc_id and text are not read.
     """
     queries = {r.kind: trigram_query(r.pattern, r.flags) for r in rules}
     wanted = sorted(set().union(*map(trigrams_of, queries.values())))
