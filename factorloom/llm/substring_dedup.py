@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import stored, texts
+from factorloom.llm.common import keyed, named, stored, texts
 from factorloom.llm.minhash import mix
 from factorloom.llm.tokens import small_parts
 
@@ -35,14 +35,28 @@ LENGTH, GRAM = 100, 40
 _PART = 1 << 19
 #: Slices of the strings' hashes that are compared one after the other, each with a fraction of the shuffle files.
 SLICES = 4
-_STEP = np.array([0x9E3779B97F4A7C15], np.uint64)
+_STEP, _ODD = np.array([0x9E3779B97F4A7C15], np.uint64), np.array([0xD6E8FEB86659FD93], np.uint64)
+
+
+def _words(b: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place of b on, as one number."""
+    words = np.lib.stride_tricks.as_strided(b, (len(b) - 7, 8), (1, 1))
+    return np.ascontiguousarray(words).view("<u8")[:, 0]
+
+
+def string_hashes(b: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A 64-bit hash, unlike that of grams, of the LENGTH bytes from each place in `at` on."""
+    words, h = _words(b), np.zeros(len(at), np.uint64)
+    for k in (*range(0, LENGTH - 8, 8), LENGTH - 8):
+        h = (h + words[at + k]) * _ODD
+        h ^= h >> np.uint64(32)
+    return mix(h ^ _ODD)
 
 
 def gram_hashes(b: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each GRAM bytes of b."""
     n = len(b) - GRAM + 1
-    words = np.lib.stride_tricks.as_strided(b, (len(b) - 7, 8), (1, 1))
-    words = np.ascontiguousarray(words).view("<u8")[:, 0]
+    words = _words(b)
     h = np.zeros(n, np.uint64)
     for k in range(0, GRAM, 8):
         h = (h ^ words[k : k + n]) * _STEP
@@ -154,7 +168,7 @@ def _strings_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if len(start):
                         h, i = gram_hashes(part), start - begin
                         one = mix(h[i] + mix(h[i + GRAM] + mix(h[i + LENGTH - GRAM])))
-                        two = mix(h[i] ^ (h[i + GRAM] * _STEP) ^ (h[i + LENGTH - GRAM] << np.uint64(1)))
+                        two = string_hashes(part, i)
                         yield np.full(len(start), doc, np.int64), start, np.ones(len(start), np.int64), one.view(np.int64), two.view(np.int64)
 
     yield from _earliest_first(rows(), ["doc_id", "start", "n", "h1", "h2"])
@@ -190,8 +204,12 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes) of every document.
 
-    Rows repeated with their doc_id are not repeats of each other.
+    Rows repeated with their doc_id are not repeats of each other. A null text
+    counts as empty; rows without doc_id count as of one id that is smaller than
+    all others. An empty table gives no rows; columns beyond doc_id and text are
+    not read.
     """
+    docs = keyed(docs)
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_parts(batches):
@@ -208,7 +226,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(),) * 3 + (pa.binary(),), strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     runs = stored(_runs(repeated_runs(docs).distinct()), "runs", release=True)
-    return texts(docs).join(runs, "doc_id", "left").mapInArrow(cover, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return texts(docs).join(runs, "doc_id", "left").mapInArrow(cover, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary").withColumn("doc_id", named())
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
