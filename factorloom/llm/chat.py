@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import small, stored
+from factorloom.llm.common import parts_for, small, stored
 
 #: The template: control strings around a turn's role and text. They all begin with "<".
 BEGIN, MIDDLE, END = "<s>", "<m>", "</s>"
@@ -60,44 +60,65 @@ def paths(conversations: DataFrame) -> DataFrame:
     return steps.select("conv_id", "depth", "role", "text", F.array_join("steps", "").alias("path"))
 
 
-def prefix_tree(turns: DataFrame) -> DataFrame:
-    """The nodes of paths(): path, depth, turn (formatted), is_loss, start and end of its characters in the output, position (characters before it in its conversations) and sees (the places of its ancestors).
+def _node(path: Column) -> Column:
+    """16 bytes that stand for a path where nodes meet their ancestors."""
+    return F.unhex(F.md5(path))
+
+
+def prefix_tree(turns: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """The nodes of paths(): path, depth, turn (formatted), start and end of its characters in the output, position (characters before it in its conversations) and sees (the places of its ancestors); loss_start and loss_end, the place of an assistant's text in the output, are null elsewhere.
 
     Shared turns occur once. Places come from sums over ranges of paths, then
     within a range; a character's position id is `position` plus its place in the
-    turn, and it may attend to `sees` and to what is before it in its own turn.
+    turn, and it may attend to `sees` and to what is before it in its own turn. The
+    intervals of all nodes of a conversation grow with the square of its turns; with
+    `only` (path), they are given for these nodes alone, as for last turns.
     """
     node = F.struct("depth", "role", "text")
-    nodes = turns.groupBy("path").agg(F.min(node).alias("n")).select("path", "n.depth", formatted(F.col("n.role"), F.col("n.text")).alias("turn"), (F.col("n.role") == "assistant").alias("is_loss"))
-    n = max(int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    ahead_of_text = F.length(escape(F.col("n.role"))) + len(BEGIN) + len(MIDDLE)
+    nodes = turns.groupBy("path").agg(F.min(node).alias("n")).select("path", "n.depth", formatted(F.col("n.role"), F.col("n.text")).alias("turn"), F.when(F.col("n.role") == "assistant", ahead_of_text).alias("loss_from"))
+    n = parts_for(turns)
     ranged = stored(nodes.repartitionByRange(n, "path").sortWithinPartitions("path").select("*", F.length("turn").cast("long").alias("length"), F.spark_partition_id().alias("range")), "nodes")
     inside = Window.partitionBy("range").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
     totals = ranged.groupBy("range").agg(F.sum("length").alias("total"))
     before = small(totals.select("range", F.coalesce(F.sum("total").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before")))
-    placed = stored(ranged.withColumn("ahead", F.coalesce(F.sum("length").over(inside), F.lit(0))).join(before, "range").select("path", "depth", "turn", "is_loss", "length", (F.col("before") + F.col("ahead")).alias("start")), "placed")
-    above = placed.filter("depth > 1").select("path", F.explode(F.transform(F.sequence(F.lit(1), F.col("depth") - 1), lambda d: F.substring("path", F.lit(1), d * _STEP))).alias("ancestor"))
-    spans = placed.select(F.col("path").alias("ancestor"), F.struct("start", (F.col("start") + F.col("length")).alias("end")).alias("span"))
-    seen = above.join(spans, "ancestor").groupBy("path").agg(F.sort_array(F.collect_list("span")).alias("sees"))
+    placed = stored(ranged.withColumn("ahead", F.coalesce(F.sum("length").over(inside), F.lit(0))).join(before, "range").select("path", "depth", "turn", "loss_from", "length", (F.col("before") + F.col("ahead")).alias("start")), "placed")
+    deep = placed.filter("depth > 1").select("path", "depth", _node(F.col("path")).alias("node"))
+    deep = deep if only is None else deep.join(only.select(_node(F.col("path")).alias("node")).distinct(), "node", "left_semi")
+    above = deep.select("node", F.explode(F.transform(F.sequence(F.lit(1), F.col("depth") - 1), lambda d: _node(F.substring("path", F.lit(1), d * _STEP)))).alias("ancestor"))
+    spans = placed.select(_node(F.col("path")).alias("ancestor"), F.struct("start", (F.col("start") + F.col("length")).alias("end")).alias("span"))
+    seen = above.join(spans, "ancestor").groupBy("node").agg(F.sort_array(F.collect_list("span")).alias("sees"))
     sees = F.coalesce("sees", F.array().cast("array<struct<start:long,end:long>>"))
-    return placed.join(seen, "path", "left").select(
-        "path", "depth", "turn", "is_loss", "start", (F.col("start") + F.col("length")).alias("end"), F.aggregate(sees, F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"]).alias("position"), sees.alias("sees")
-    )
+    end = F.col("start") + F.col("length")
+    return placed.join(seen, _node(F.col("path")) == seen["node"], "left").select(
+        "path", "depth", "turn", "start", end.alias("end"), F.aggregate(sees, F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"]).alias("position"), sees.alias("sees"),
+        (F.col("start") + F.col("loss_from")).alias("loss_start"), F.when(F.col("loss_from").isNotNull(), end - len(END)).alias("loss_end"),
+    )
 
 
-def read_back(tree: DataFrame, members: DataFrame) -> DataFrame:
+def read_back(tree: DataFrame, leaves: DataFrame) -> DataFrame:
     """The conversations in the tree: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
 
-    members has conv_id, depth and path of every turn; everything else is parsed
-    from the formatted turns.
+    leaves has conv_id and the path of its last turn. A conversation is what that
+    turn sees and the turn itself: the characters at these intervals of the
+    output, ordered by their places there, are parsed; the loss is what stands
+    between loss_start and loss_end, and the length is the last character's
+    position id and 1.
     """
-    nodes = tree.select("path", "is_loss", F.length("turn").cast("long").alias("chars"), parsed(F.col("turn")).alias("t"))
-    turn = F.struct("depth", "t.role", "t.text", "is_loss", "chars")
-    whole = members.join(nodes, "path").groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["is_loss"]), lambda t: t["text"]), "")
+    own = F.array(F.struct("start", "end"))
+    nodes = tree.select(_node(F.col("path")).alias("node"), F.concat("sees", own).alias("spans"), (F.col("position") + F.col("end") - F.col("start")).alias("chars"))
+    last = leaves.select("conv_id", _node(F.col("path")).alias("node")).join(nodes, "node")
+    spans = last.select("conv_id", "chars", F.explode("spans").alias("s")).select("conv_id", "chars", "s.start", "s.end")
+    stream = tree.select("start", "end", "turn", (F.col("loss_start") - F.col("start")).cast("int").alias("loss_from"), (F.col("loss_end") - F.col("loss_start")).cast("int").alias("loss_size"))
+    turn = F.struct("start", "turn", "loss_from", "loss_size")
+    held = spans.join(stream, ["start", "end"]).groupBy("conv_id", "chars").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    read = lambda t: F.struct(parsed(t["turn"]).alias("t"), unescape(F.substring(t["turn"], t["loss_from"] + 1, t["loss_size"])).alias("loss"))
+    whole = held.select("conv_id", "chars", F.transform("turns", read).alias("turns"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["t"]["role"], F.lit("\n"), t["t"]["text"], F.lit("\n"))), "")
+    loss = F.array_join(F.transform("turns", lambda t: F.coalesce(t["loss"], F.lit(""))), "")
     return whole.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"),
-        F.aggregate("turns", F.lit(0).cast("long"), lambda s, t: s + t["chars"]).alias("formatted_chars"),
+        F.col("chars").alias("formatted_chars"),
     )
 
 
@@ -105,7 +126,9 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
     """The conversations formatted as one prefix tree and read back from it.
 
     An empty table gives no rows; columns beyond conv_id, turn, role and text are
-    not read. Rows repeated within a conversation are turns of their own.
+    not read. Rows repeated within a conversation are turns of their own; rows
+    without conv_id are one conversation; rows without turn come first in theirs.
     """
     turns = stored(paths(conversations), "paths")
-    return read_back(prefix_tree(turns), turns.select("conv_id", "depth", "path"))
+    leaves = turns.groupBy("conv_id").agg(F.max_by("path", "depth").alias("path"))
+    return read_back(prefix_tree(turns, leaves), leaves)
