@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm import chat, decontamination, exact_dedup, licenses, minhash, packing, quality, secrets, substring_dedup, token_files
+from factorloom.llm import chat, decontamination, exact_dedup, licenses, minhash, packing, quality, secrets, substring_dedup, token_counts, token_files
 from factorloom.llm.common import table
 
 
@@ -56,7 +56,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_minhash_dedup, op3_substring_dedup, op4_exact_dedup, op5_secret_scan, op6_chat_format, op7_packing, op8_token_files, op9_license_scan, op10_decontamination)}
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_minhash_dedup, op3_substring_dedup, op4_exact_dedup, op5_secret_scan, op6_chat_format, op7_packing, op8_token_files, op9_license_scan, op10_decontamination, op11_token_counts)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
