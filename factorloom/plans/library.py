@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +38,7 @@ def alpha_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def alpha_library(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All formulas of the library over brands and months, in one plan."""
-    return _rounded(formulas.exposures(alpha_panel(spark, sf_dir), alphas.ALPHAS))
+    return _rounded(formulas.exposures(alpha_panel(spark, sf_dir), alphas.PANEL_ALPHAS, alphas.PANEL_DIALECT))
 
 
 @query
@@ -58,7 +60,7 @@ class _Sql(str):
 
 
 #: Seeds whose windows are over the panel's own columns.
-_FLAT = [k for k, f in formulas.SEEDS.items() if not any(x in f for x in ("rsi", "atr", "ema", "gain", "delay(sma"))]
+_FLAT = [k for k in formulas.SEEDS if k not in ("RSIMomentum", "RSI_manual", "ATRMomentum", "Price_vs_SMA14_delay7", "EMA20_minus_Close", "InverseRSI", "ATR", "HL_EMA_ratio", "ExponentialMovingAverage")]
 
 
 @query
@@ -71,7 +73,7 @@ def _seed_sql() -> str:
     over = lambda name: lambda x, n: _Sql(f"{name}({x}) OVER {_w(n)}")
     names = {f: _Sql(f"CAST({f} AS DOUBLE)") for f in ("high", "low", "close", "volume")}
     names |= {"delay": lambda x, n: _Sql(f"lag({x}, {n}) OVER {_O}"), "sma": over("avg"), "lowest": over("min"), "highest": over("max"), "std": over("stddev_samp")}
-    cells = [f"round({eval(formulas.SEEDS[k], {'__builtins__': {}}, names)}, 6) AS {k}" for k in _FLAT]  # noqa: S307
+    cells = [f"round({formulas.SEEDS[k](SimpleNamespace(**names))}, 6) AS {k}" for k in _FLAT]
     return f"{_panel('brand')} SELECT date, instrument, {', '.join(cells)} FROM g"
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -56,6 +57,10 @@ def rolled(n, least, f):
     return lambda x: getattr(x.rolling(n, min_periods=least), f)()
 
 
+def as_float(x):
+    return x.astype(float)
+
+
 def names_of(wide):
     """The core functions on wide frames, by pandas."""
 
@@ -74,11 +79,13 @@ def names_of(wide):
 
     mean = lambda f: lambda x, n: rolled(n, max(1, n // 2), f)(x)
     third = lambda n: min(max(2, 2 * n // 3), n)
-    return {
-        **wide, "rank": lambda x: x.rank(axis=1, pct=True), "correlation": correlation, "ts_rank": ts_rank, "decay_linear": decay_linear, "ts_mean": mean("mean"), "ts_sum": mean("sum"), "ts_min": mean("min"), "ts_max": mean("max"),
+    known = {
+        **wide, "rank": lambda x: as_float(x).rank(axis=1, pct=True), "correlation": correlation, "ts_rank": ts_rank, "decay_linear": decay_linear, "ts_mean": mean("mean"), "ts_sum": mean("sum"), "ts_min": mean("min"), "ts_max": mean("max"),
         "ts_std": lambda x, n: x.rolling(n, min_periods=third(n)).std(ddof=0), "delay": lambda x, n: x.shift(n), "ts_delta": lambda x, n: x - x.shift(n), "sign": np.sign, "abs": abs, "sqrt": lambda x: np.sqrt(x.clip(lower=0)), "log": lambda x: np.log(x.clip(lower=1e-10)),
         "ele_min": lambda x, y: x.where(y.isna() | (x <= y), y).where(x.notna()), "scale": lambda x: x.div(x.abs().sum(axis=1), axis=0), "where": lambda c, a, b: (a if isinstance(a, pd.DataFrame) else c * 0.0 + a).where(c.astype(bool), b),
     }
+    short = {"mean": "ts_mean", "total": "ts_sum", "least": "ts_min", "most": "ts_max", "std": "ts_std", "delta": "ts_delta", "corr": "correlation", "corr0": "correlation", "place": "ts_rank", "fade": "decay_linear", "level": "ts_mean", "lower": "ele_min", "ln": "log", "year": "ts_sum"}
+    return known | {k: known[v] for k, v in short.items()} | {"or0": lambda x: x, "or1": lambda x: x, "safe": lambda x, _: x, "below": lambda a, b: (a < b).astype(float)}
 
 
 PLAIN = ["alpha002", "alpha003", "alpha004", "alpha005", "alpha006", "alpha011", "alpha012", "alpha018", "alpha023", "alpha025", "alpha028", "alpha033", "alpha035", "alpha040", "alpha041", "alpha042", "alpha053", "alpha055", "alpha067", "alpha080", "alpha088", "alpha097", "alpha101"]
@@ -86,10 +93,10 @@ PLAIN = ["alpha002", "alpha003", "alpha004", "alpha005", "alpha006", "alpha011",
 
 def test_formulas_against_pandas(cells):
     wide, frame = cells
-    got = formulas.exposures(frame, {k: alphas.ALPHAS[k] for k in PLAIN}).toPandas()
+    got = formulas.exposures(frame, {k: alphas.PANEL_ALPHAS[k] for k in PLAIN}, alphas.PANEL_DIALECT).toPandas()
     got["date"] = pd.to_datetime(got["date"])
     for k in PLAIN:
-        want = eval(alphas.ALPHAS[k], {"__builtins__": {}}, names_of(wide))
+        want = alphas.PANEL_ALPHAS[k](SimpleNamespace(**names_of(wide)))
         mine = got.pivot(index="date", columns="instrument", values=k)
         close = np.isclose(mine.to_numpy(float), want.to_numpy(float), rtol=1e-6, atol=1e-8, equal_nan=True)
         assert close.mean() > 0.99, (k, close.mean())
@@ -97,10 +104,10 @@ def test_formulas_against_pandas(cells):
 
 def test_whole_library(cells):
     _, frame = cells
-    got = formulas.exposures(frame, alphas.ALPHAS).toPandas()
-    assert len(alphas.ALPHAS) == 98 and len(got) == 90 * 12
+    got = formulas.exposures(frame, alphas.PANEL_ALPHAS, alphas.PANEL_DIALECT).toPandas()
+    assert len(alphas.PANEL_ALPHAS) == 98 and len(got) == 90 * 12
     some = got.notna().any()
-    assert {k for k in alphas.ALPHAS if not some[k]} <= LONG
+    assert {k for k in alphas.PANEL_ALPHAS if not some[k]} <= LONG
 
 
 #: Formulas whose windows are longer than the sample.
