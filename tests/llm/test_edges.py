@@ -76,13 +76,20 @@ def test_conversations_with_nulls(spark):
 def test_damaged_tree_is_noticed(spark):
     data = [(1, 0, "user", "hi"), (1, 1, "assistant", "hello"), (2, 0, "user", "hi"), (2, 1, "assistant", "other"), (2, 2, "user", "more")]
     turns = chat.paths(spark.createDataFrame(data, "conv_id long, turn long, role string, text string"))
-    leaves = turns.groupBy("conv_id").agg(F.max_by("path", "depth").alias("path"))
+    leaves = turns.filter("last").select("conv_id", "path")
     tree = spark.createDataFrame(chat.prefix_tree(turns).collect(), chat.prefix_tree(turns).schema)
     good = rows(chat.read_back(tree, leaves), "conv_id")
     assert good[2]["n_turns"] == 3 and good[2]["loss_chars"] == 5
-    moved = F.transform("sees", lambda s: F.struct((s["start"] + 1).alias("start"), s["end"].alias("end")))
-    for damaged in (tree.withColumn("sees", moved), tree.withColumn("sees", F.slice("sees", 2, 9)), tree.withColumn("position", F.col("position") + 1), tree.withColumn("loss_start", F.col("loss_start") + 1), tree.withColumn("start", F.when(F.col("depth") == 1, F.col("start") + 1).otherwise(F.col("start")))):
-        assert rows(chat.read_back(damaged, leaves), "conv_id") != good
+    at = F.col("depth") == 1
+    for name, damaged in {"until": F.when(at, F.col("until") - 1000), "position": F.col("position") + 1, "loss_start": F.col("loss_start") + 1, "start": F.when(at, F.col("start") + 1), "end": F.when(at, F.col("end") + 1), "last": ~F.col("last")}.items():
+        bad = tree.withColumn(name, F.coalesce(damaged, F.col(name)))
+        if name in ("start", "end"):
+            with pytest.raises(Exception, match="has a place of"):
+                chat.read_back(bad, leaves).collect()
+        else:
+            assert rows(chat.read_back(bad, leaves), "conv_id") != good, name
+    closed = tree.withColumn("until", F.when(~at, F.col("until") + 1000).otherwise(F.col("until")))
+    assert rows(chat.read_back(closed, leaves), "conv_id") != good
 
 
 def test_any_sequence_can_be_read(spark, tmp_path):

@@ -75,7 +75,18 @@ def test_chat(spark):
     assert len({r.path for r in order if r.depth == 1}) == 6
     for r in order:
         above = [tree[r.path[: k * 24]] for k in range(1, r.depth)]
-        assert [tuple(s) for s in r.sees] == [(a.start, a.end) for a in above] and r.position == sum(len(a.turn) for a in above)
+        assert [a for a in order if a.start <= r.start < a.until] == [*above, r] and r.position == sum(len(a.turn) for a in above)
+        assert r.until == max(a.end for a in order if a.path.startswith(r.path))
+    held = chat.paths(frame).collect()
+    for conv in {r.conv_id for r in held}:  # the whole attention mask, character by character
+        mine = sorted((r.depth, r.path) for r in held if r.conv_id == conv)
+        own = [range(tree[p].start, tree[p].end) for _, p in mine]
+        places = [i for x in own for i in x][:400]
+        node_at = {i: r for r in order for i in range(r.start, min(r.end, r.start + 400))}
+        for k, i in enumerate(places):
+            n = node_at[i]
+            assert [j for j in places if j <= i and node_at[j].start <= n.start < node_at[j].until] == places[: k + 1]
+            assert n.position + i - n.start == k
     everything = queries.with_control_strings(frame)
     convs = defaultdict(list)
     for r in everything.collect():
