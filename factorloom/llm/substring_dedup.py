@@ -87,9 +87,17 @@ def segments(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return tuple(map(np.concatenate, zip(*out, strict=True))) if out else (np.zeros(0, np.int64),) * 4
 
 
-def _bytes(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-    for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
-        yield doc, np.frombuffer(text, np.uint8)
+def _bytes(b: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
+    for doc, row, text in zip(b.column("doc_id").to_pylist(), b.column("row").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
+        yield doc, row, np.frombuffer(text, np.uint8)
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """doc_id, row (a number of its own for each row) and text. Where a doc_id stands twice the numbered rows are stored; else row is doc_id."""
+    docs = texts(docs)
+    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        return docs.withColumn("row", F.col("doc_id"))
+    return stored(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
 
 
 def _least(keys: tuple[np.ndarray, ...], doc: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -104,8 +112,8 @@ def _least(keys: tuple[np.ndarray, ...], doc: np.ndarray, start: np.ndarray) ->
     return least
 
 
-_SEGMENT = "doc_id long, start long, n long, gram long, seg long"
-_STRING = "doc_id long, start long, n long, h1 long, h2 long"
+_SEGMENT = "row long, start long, n long, gram long, seg long, doc_id long"
+_STRING = "row long, start long, n long, h1 long, h2 long, doc_id long"
 
 #: Rows that a task holds before it passes them on; within these, repeats are found before the shuffle.
 _HELD = 1_000_000
@@ -120,16 +128,16 @@ def _merged(doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarr
 
 
 def _earliest_first(rows: Iterator[tuple[np.ndarray, ...]], names: list[str]) -> Iterator[pa.RecordBatch]:
-    """Rows of doc_id, start, n and two keys: of a task's rows with equal keys the earliest as they are, the others merged and without keys."""
+    """Rows of row, start, n, two keys and doc_id: of a task's rows with equal keys the earliest as they are, the others merged, without keys and doc_id."""
     held: list[tuple[np.ndarray, ...]] = []
 
     def flush() -> Iterator[pa.RecordBatch]:
         columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-        least = _least((columns[3], columns[4]), columns[0], columns[1])
+        least = _least((columns[3], columns[4]), columns[5], columns[1])
         parts = [[pa.array(c[least]) for c in columns]]
         if not least.all():
             runs = [pa.array(c) for c in _merged(*(c[~least] for c in columns[:3]))]
-            parts.append([*runs, *[pa.nulls(len(runs[0]), pa.int64())] * 2])
+            parts.append([*runs, *[pa.nulls(len(runs[0]), pa.int64())] * 3])
         for p in parts:
             whole = pa.RecordBatch.from_arrays(p, names)
             for i in range(0, whole.num_rows, 50_000):
@@ -149,18 +157,18 @@ def _earliest_first(rows: Iterator[tuple[np.ndarray, ...]], names: list[str]) ->
 def _segments_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows() -> Iterator[tuple[np.ndarray, ...]]:
         for batch in small_parts(batches):
-            for doc, b in _bytes(batch):
+            for doc, row, b in _bytes(batch):
                 if len(b) >= LENGTH:
                     start, n, gram, seg = segments(b)
-                    yield np.full(len(start), doc, np.int64), start, n, gram, seg
+                    yield np.full(len(start), row, np.int64), start, n, gram, seg, np.full(len(start), doc, np.int64)
 
-    yield from _earliest_first(rows(), ["doc_id", "start", "n", "gram", "seg"])
+    yield from _earliest_first(rows(), ["row", "start", "n", "gram", "seg", "doc_id"])
 
 
 def _strings_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows() -> Iterator[tuple[np.ndarray, ...]]:
         for batch in small_parts(batches):
-            for (doc, b), runs in zip(_bytes(batch), batch.column("runs").to_pylist(), strict=True):
+            for (doc, row, b), runs in zip(_bytes(batch), batch.column("runs").to_pylist(), strict=True):
                 for begin in range(0, len(b) - LENGTH + 1, _PART):
                     part = b[begin : begin + _PART + LENGTH - 1]
                     at = [np.arange(max(r["start"], begin), min(r["start"] + r["n"], begin + _PART)) for r in runs]
@@ -169,52 +177,52 @@ def _strings_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         h, i = gram_hashes(part), start - begin
                         one = mix(h[i] + mix(h[i + GRAM] + mix(h[i + LENGTH - GRAM])))
                         two = string_hashes(part, i)
-                        yield np.full(len(start), doc, np.int64), start, np.ones(len(start), np.int64), one.view(np.int64), two.view(np.int64)
+                        yield np.full(len(start), row, np.int64), start, np.ones(len(start), np.int64), one.view(np.int64), two.view(np.int64), np.full(len(start), doc, np.int64)
 
-    yield from _earliest_first(rows(), ["doc_id", "start", "n", "h1", "h2"])
+    yield from _earliest_first(rows(), ["row", "start", "n", "h1", "h2", "doc_id"])
 
 
 def _runs(rows: DataFrame) -> DataFrame:
-    """doc_id and its (start, n) as one list, which is bounded by the document's length."""
-    return rows.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    """row and its (start, n) as one list, which is bounded by the document's length."""
+    return rows.groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
-    """doc_id, start, n: the starts of the strings of LENGTH bytes that also start earlier, as runs of n.
+    """row, start, n: the starts of the strings of LENGTH bytes that also start earlier, as runs of n; docs is that of _rows().
 
-    Earlier means a smaller doc_id, or the same and a smaller start; null texts
-    are empty. Within a task repeats are found before the shuffle, so a string
+    Earlier means a smaller doc_id, or the same and a smaller start. Within a task repeats are found before the shuffle, so a string
     that very many documents hold sends one row from each task.
     """
-    base = texts(docs)
+    base = docs.select("doc_id", "row", "text")
     cut = stored(base.mapInArrow(_segments_of, _SEGMENT), "segments", release=True)
     place = F.struct("doc_id", "start")
     first = F.min(place).over(Window.partitionBy("gram", "seg"))
     group = Window.partitionBy("gram")
     sent = cut.filter("gram is not null").withColumns({"low": F.min("seg").over(group), "high": F.max("seg").over(group), "first": first})
-    judged = stored(sent.filter((F.col("low") != F.col("high")) | (place > F.col("first"))).select("doc_id", "start", "n", (place > F.col("first")).alias("repeat")), "judged", release=True)
-    strings = stored(base.join(_runs(judged.filter("not repeat")), "doc_id").mapInArrow(_strings_of, _STRING), "strings", release=True)
+    judged = stored(sent.filter((F.col("low") != F.col("high")) | (place > F.col("first"))).select("row", "start", "n", (place > F.col("first")).alias("repeat")), "judged", release=True)
+    strings = stored(base.join(_runs(judged.filter("not repeat")), "row").mapInArrow(_strings_of, _STRING), "strings", release=True)
     found = [cut.filter("gram is null"), judged.filter("repeat"), strings.filter("h1 is null")]
     for k in range(SLICES):
         part = strings.filter(F.pmod("h1", F.lit(SLICES)) == k).withColumn("first", F.min(place).over(Window.partitionBy("h1", "h2")))
-        found.append(stored(part.filter(place > F.col("first")).select("doc_id", "start", "n"), "repeats", release=True))
-    return reduce(DataFrame.union, (f.select("doc_id", "start", "n") for f in found))
+        found.append(stored(part.filter(place > F.col("first")).select("row", "start", "n"), "repeats", release=True))
+    return reduce(DataFrame.union, (f.select("row", "start", "n") for f in found))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes) of every document.
 
-    Rows repeated with their doc_id are not repeats of each other. A null text
+    Rows of one doc_id are each judged by themselves; what they have at the same
+    place is not a repeat, what starts later in one of them than in another is. A null text
     counts as empty; rows without doc_id count as of one id that is smaller than
     all others. An empty table gives no rows; columns beyond doc_id and text are
     not read.
     """
-    docs = keyed(docs)
+    docs = _rows(keyed(docs))
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_parts(batches):
             out = []
-            for (_, b), runs in zip(_bytes(batch), batch.column("runs").to_pylist(), strict=True):
+            for (_, _, b), runs in zip(_bytes(batch), batch.column("runs").to_pylist(), strict=True):
                 edge = np.zeros(len(b) + 1, np.int64)
                 if runs:
                     start, n = np.array([(r["start"], r["n"]) for r in runs]).T
@@ -226,7 +234,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(),) * 3 + (pa.binary(),), strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     runs = stored(_runs(repeated_runs(docs).distinct()), "runs", release=True)
-    return texts(docs).join(runs, "doc_id", "left").mapInArrow(cover, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary").withColumn("doc_id", named())
+    return docs.join(runs, "row", "left").mapInArrow(cover, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary").withColumn("doc_id", named())
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:

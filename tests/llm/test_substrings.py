@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from factorloom.llm import substring_dedup
@@ -80,3 +81,24 @@ def test_pipeline(spark):
             assert set(after) == {k for k, v in brute_contamination(before.items(), items).items() if not v["contaminated"]}
     out = corpus_pipeline.run(spark, sf)
     assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == set(after)
+
+
+@pytest.mark.parametrize("table", [lambda p, q: [(None, p), (None, q + p), (None, "x" * 20)], lambda p, q: [(1, p), (2, q + p), (2, "short text")], lambda p, q: [(2, q + p), (2, p), (2, None), (5, p), (None, p[:150])]])
+def test_rows_that_share_an_id(spark, table):
+    p, q = (" ".join(f"{w}{i * i % 89}" for i in range(60)) for w in ("pa", "qu"))
+    data = table(p, q)
+    got = substring_dedup.without_repeats(spark.createDataFrame(data, "doc_id long, text string").repartition(2)).collect()
+    strings = {}
+    for doc, text in data:
+        b = (text or "").encode()
+        for i in range(len(b) - 99):
+            strings[b[i : i + 100]] = min(strings.get(b[i : i + 100], (1 << 62, 0)), (-1 if doc is None else doc, i))
+    want = []
+    for doc, text in data:
+        b, gone = (text or "").encode(), set()
+        for i in range(len(b) - 99):
+            if strings[b[i : i + 100]] < (-1 if doc is None else doc, i):
+                gone |= set(range(i, i + 100))
+        want.append((doc, len(b), len(gone), bytes(x for i, x in enumerate(b) if i not in gone)))
+    key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, bytes(r.kept)) for r in got), key=key) == sorted(want, key=key)
