@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factorloom.functions import core, library
-from factorloom.operators import memory, portfolio, retrieval, scoring
+from factorloom.operators import memory, portfolio, retrieval, scoring, vector_index
 from factorloom.sources import panels
 from factorloom.streaming import bars as stream
 
@@ -173,8 +173,8 @@ def memory_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def memory_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As memory_nearest, with every row as a query."""
-    return retrieval.neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"), 5).select("query_id", "vec_id", "place")
+    """As memory_nearest, with every row as a query, by an index that leaves out what can't be near."""
+    return vector_index.neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"), 5).select("query_id", "vec_id", "place")
 
 
 def event_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
