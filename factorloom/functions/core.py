@@ -213,14 +213,14 @@ def ewm_adjusted(x: Value, alpha: float) -> Column:
     return _last_known(F.try_divide(total(x), total(x.isNotNull().cast("double"))))
 
 
-def ewm_recursive(x: Value, alpha: float) -> Column:
-    """(1 - alpha) of the last mean and alpha of the cell; g null rows between weaken the last mean's weight to (1 - alpha) ** (g + 1), the two weights then being made to sum to 1. A row without a cell repeats the last mean."""
+def ewm_recursive(x: Value, alpha: float, weaken: bool = True) -> Column:
+    """(1 - alpha) of the last mean and alpha of the cell; g null rows between weaken the last mean's weight to (1 - alpha) ** (g + 1), the two weights then being made to sum to 1 (without `weaken` gaps change nothing). A row without a cell repeats the last mean."""
     x, keep = col(x).cast("double"), 1 - alpha
     if keep <= 0:
         return _last_known(x)
     known = F.when(x.isNotNull(), _row())
     last = F.max(known).over(Window.partitionBy("instrument").orderBy("date").rowsBetween(Window.unboundedPreceding, -1))
-    old = F.pow(F.lit(keep), _row() - last)
+    old = F.pow(F.lit(keep), _row() - last if weaken else F.lit(1))
     share = F.when(x.isNull() | last.isNull(), 1.0).otherwise(F.greatest(old / (old + alpha), F.lit(1e-150)))
     added = F.when(x.isNotNull(), F.when(last.isNull(), x).otherwise((1 - share) * x))
     fall = -F.sum(F.ln(share)).over(Window.partitionBy("instrument").orderBy("date").rowsBetween(Window.unboundedPreceding, 0))

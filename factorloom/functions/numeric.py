@@ -124,3 +124,9 @@ def ts_corr(x: Value, y: Value, n: int) -> Column:
 def mean_away(x: Value, n: int) -> Column:
     """Mean distance from the mean with at least half a window known."""
     return core.gated(_mean_away(x, n), col(x), n, max(2, n // 2))
+
+
+def ts_ema(x: Value, n: int) -> Column:
+    """From the n-th row on: the mean of what is known of the first n rows, then 2 / (n + 1) of each known cell and the rest of the last mean; a row without a cell repeats it, and where the first n rows know nothing the first cell begins."""
+    x, i = col(x).cast("double"), _row()
+    return core.ewm_recursive(F.when(i == n - 1, F.avg(x).over(over(n))).when(i >= n, x), 2 / (n + 1), weaken=False)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factorloom.operators.selection import finite
 from factorloom.sources.panels import by_instrument, drop_idle_dates, forward_fill
+from factorloom.sources.stages import Stages
 
 #: Names under which a net asset value may stand, the best first.
 NAV_NAMES = ("portfolio_value", "value", "nav", "net_value")
@@ -28,6 +29,34 @@ def read_archive(spark: SparkSession, top: str, universe: str, start: str, end:
     return spark.read.parquet(archive_path(top, universe, start, end))
 
 
+def update_archive(panel: DataFrame, path: str) -> None:
+    """Brings rows (date, instrument, fields) into an archive that is stored by month, which is made where it lacks.
+
+    Of a date and instrument the new row replaces the old one; rows that stand twice
+    in `panel` count once, the one whose fields come last in order. Only the months
+    that `panel` touches are read and written, each as a whole, so that history has
+    one version and the same update twice changes nothing. The merged months are
+    stored beside the archive before they take the place of the old ones: a run
+    that breaks off leaves the archive as it was, or may be run again. Rows
+    without date or instrument are left out; fields that one side lacks are null.
+    """
+    spark = panel.sparkSession
+    stages = Stages(spark, "archive")
+    named = lambda df: df.filter("date is not null and instrument is not null")
+    month = F.date_format("date", "yyyy-MM").alias("month")
+    rest = F.struct(*[c for c in panel.columns if c not in ("date", "instrument")]) if len(panel.columns) > 2 else F.lit(1)
+    new = stages.store(named(panel).groupBy("date", "instrument").agg(F.max(rest).alias("row")).select("date", "instrument", *(["row.*"] if len(panel.columns) > 2 else []), month))
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        months = new.select("month").distinct()
+        old = spark.read.parquet(path).withColumn("month", F.col("month").cast("string"))
+        kept = old.join(months, "month", "left_semi").join(new.select("date", "instrument"), ["date", "instrument"], "left_anti")
+        merged = stages.store(kept.unionByName(new, allowMissingColumns=True))
+    else:
+        merged = new
+    merged.repartition("month").sortWithinPartitions("month", "instrument", "date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+
+
 def capped_universe(panel: DataFrame, most: int) -> DataFrame:
     """The rows of the first `most` instruments by name; also the small part of a panel that runs for debugging take."""
     return panel.join(panel.select("instrument").distinct().orderBy("instrument").limit(most), "instrument", "left_semi").select(panel.columns)
