@@ -42,10 +42,11 @@ def densify(panel: DataFrame) -> DataFrame:
     have the size of the calendar, not of the data.
     """
     names = [c for c in panel.columns if c not in ("date", "instrument")]
-    held = panel.groupBy("instrument").agg(F.map_from_entries(F.collect_list(F.struct("date", F.struct(*names).alias("cell")))).alias("held"))
-    dates = held.select(F.explode(F.map_keys("held")).alias("date")).agg(F.array_sort(F.collect_set("date")).alias("dates"))
-    row = lambda d: F.struct(d.alias("date"), F.try_element_at("held", d).alias("cell"))
-    full = held.join(F.broadcast(dates)).select("instrument", F.explode(F.transform("dates", row)).alias("row"))
+    cell = F.struct(*names) if names else F.struct(F.lit(1).alias("_"))
+    held = panel.groupBy("instrument").agg(F.collect_list(F.struct("date", cell.alias("cell"))).alias("held"))
+    dates = held.select(F.explode("held.date").alias("date")).agg(F.array_sort(F.collect_set("date")).alias("dates"))
+    idle = F.transform(F.array_except("dates", "held.date"), lambda d: F.struct(d.alias("date"), F.lit(None).cast(held.schema["held"].dataType.elementType["cell"].dataType).alias("cell")))
+    full = held.join(F.broadcast(dates)).select("instrument", F.explode(F.concat("held", idle)).alias("row"))
     return full.select("row.date", "instrument", *[F.col(f"row.cell.{c}").alias(c) for c in names])
 
 

@@ -22,7 +22,7 @@ def spark():
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
-    for t in ("region", "nation", "supplier", "part", "lineitem", "events", "embeddings"):
+    for t in ("region", "nation", "supplier", "part", "lineitem", "events", "embeddings", "pages"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return c
 
