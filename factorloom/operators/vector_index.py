@@ -50,7 +50,7 @@ class VectorIndex:
         classes = self.stages.store(classes.filter("v is not null").mapInArrow(_units, "cid long, v array<double>, ids array<long>, u array<double>"))
         directed = classes.filter("u is not null")
         n = directed.count()
-        wanted = centres or min(CENTRES, math.ceil(math.sqrt(max(n, 1))))
+        wanted = centres or (1 if n <= BLOCK else min(CENTRES, math.ceil(math.sqrt(n))))  # what fits into one block is compared whole
         sample = [r.u for r in directed.orderBy(F.xxhash64("cid"), "cid").limit(wanted).select("u").collect()]
         self.centres = {size: np.array([u for u in sample if len(u) == size]) for size in {len(u) for u in sample}}
         self.first = {size: sum(len(c) for s, c in self.centres.items() if s < size) for size in self.centres}  # number of a length's first cell
@@ -121,6 +121,8 @@ class VectorIndex:
         """cid, other, similarity: for each class the `most` classes nearest to it, itself among them; ties by the smallest id."""
         none = F.lit(None).cast("double")
         first = self._compared(self._visits(self.classes.withColumn("worst", none), True), pairs)
+        if len(self.cells) <= FIRST + 1:  # all of them were looked into
+            return self._kept(first).select("cid", "other", "similarity")
         worst = self._kept(first).filter(F.col("place") == self.most).select("cid", F.col("similarity").alias("worst"))
         later = self._compared(self._visits(self.classes.join(worst, "cid", "left"), False), pairs)
         return self._kept(first.union(later)).select("cid", "other", "similarity")
