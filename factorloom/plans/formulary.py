@@ -16,8 +16,8 @@ FIELDS = ["open", "high", "low", "close", "volume", "vwap", "returns"]
 DIGITS = 8
 
 #: Formulas that rank, compare or divide values which are equal but for rounding; engines that add in other orders part there.
-_PANEL_TIES = {"alpha013", "alpha015", "alpha016", "alpha017", "alpha043", "alpha045", "alpha085", "alpha094", "alpha096", "alpha098"}
-_TICKER_TIES = {f"alpha{k:03d}" for k in (13, 15, 16, 18, 19, 29, 36, 37, 45, 50, 52, 53, 54, 71, 75, 78, 81, 84, 85, 94, 96)}
+_PANEL_TIES = {f"alpha{k:03d}" for k in (13, 15, 16, 17, 29, 31, 43, 45, 85, 88, 94, 96, 98)}
+_TICKER_TIES = {f"alpha{k:03d}" for k in (13, 15, 16, 18, 19, 29, 31, 36, 37, 45, 50, 52, 53, 54, 71, 75, 78, 81, 84, 85, 88, 94, 96)}
 
 PANEL_CORE = {k: f for k, f in alphas.PANEL_ALPHAS.items() if k not in _PANEL_TIES}
 TICKER_CORE = {k: f for k, f in alphas.TICKER_ALPHAS.items() if k not in _TICKER_TIES}
