@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 from factorloom.functions import core, ticker
 from factorloom.sources.stages import Stages
 
-#: Window calls to a stage. Formulas with no more calls than this are one plan without stored stages.
-WIDTH = 48
+#: Window calls to a stage.
+WIDTH = 110
+#: Formulas with no more calls than this are one plan without stored stages.
+ONE_PLAN = 48
 
 Row = Callable[..., Column]
 
@@ -204,7 +206,7 @@ class Sheet:
         return panel
 
     def added(self, panel: DataFrame, outputs: Mapping[str, Cell], width: int = WIDTH) -> DataFrame:
-        """date, instrument and the outputs. With more than `width` window calls the stages are stored at once; else nothing runs yet."""
+        """date, instrument and the outputs. With more than ONE_PLAN window calls, or `width`, the stages are stored at once; else nothing runs yet."""
         calls = self._needed([*outputs.values()])
         groups: list[list[Cell]] = []
         for c in calls:  # ranks of any number are one step of the plan
@@ -212,7 +214,7 @@ class Sheet:
             if not groups or groups[-1][0].at[0] != c.at[0] or many >= width:
                 groups.append([])
             groups[-1].append(c)
-        stages = Stages(panel.sparkSession, "formulas") if len(calls) > width else None
+        stages = Stages(panel.sparkSession, "formulas") if len(calls) > min(width, ONE_PLAN) else None
         wanted = set().union(*map(self._takes, outputs.values())) if outputs else set()
         if stages:
             panel = stages.store(panel)
