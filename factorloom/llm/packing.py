@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import stored, texts
+from factorloom.llm.common import keyed, named, stored, texts
 from factorloom.llm.tokens import coder, default_tokenizer, small_parts
 
 CAPACITY = 4096
@@ -71,34 +71,37 @@ def first_fit(lengths: Iterable[int], capacity: int) -> tuple[list[int], list[in
 
 
 def pack(items: DataFrame, n_docs: int, capacity: int = CAPACITY, group_docs: int = GROUP_DOCS, seed: int = 17) -> DataFrame:
-    """The rows of items (doc_id, start, length and more) with sequence_id and offset.
+    """The rows of items (doc_id, start, length, row and more) with sequence_id and offset, without row.
 
-    Documents are dealt by a seeded hash to groups of about `group_docs`; in each
-    group the pieces, longest first (ties by doc_id and start), go to the first
-    sequence with room. A group holds a bounded number of documents, whatever the
+    `row` is a number of each row's own; items must be stored with it.
+
+    Documents are dealt by a seeded hash to groups of about `group_docs`, pieces
+    without doc_id one by one by `row`; in each group the pieces, longest first
+    (ties by doc_id, start and row), go to the first sequence with room, so that a
+    task that runs again places them alike. A group holds a bounded number of documents, whatever the
     input, and sequence_id is the group's number times 2^32 plus the sequence's.
     """
     groups = max(1, -(-n_docs // group_docs))
 
     def fill(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable")
+        rows = rows.sort_values(["length", "doc_id", "start", "row"], ascending=[False, True, True, True])
         bins, offsets = first_fit(rows["length"].tolist(), capacity)
-        return rows.assign(sequence_id=rows["pack_group"].astype("int64") * (1 << 32) + np.array(bins, "int64"), offset=np.array(offsets, "int64")).drop(columns="pack_group")
+        return rows.assign(sequence_id=rows["pack_group"].astype("int64") * (1 << 32) + np.array(bins, "int64"), offset=np.array(offsets, "int64")).drop(columns=["pack_group", "row"])
 
-    dealt = items.withColumn("pack_group", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(groups)))
-    schema = ", ".join(f"`{n}` {t}" for n, t in items.dtypes) + ", sequence_id long, offset long"
-    return dealt.groupBy("pack_group").applyInPandas(fill, schema)
+    dealt = keyed(items.withColumn("pack_group", F.pmod(F.xxhash64(F.lit(seed), F.coalesce("doc_id", "row")), F.lit(groups))))  # pandas has no null of type long
+    schema = ", ".join(f"`{n}` {t}" for n, t in items.dtypes if n != "row") + ", sequence_id long, offset long"
+    return dealt.groupBy("pack_group").applyInPandas(fill, schema).withColumn("doc_id", named())
 
 
 def packed_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
     """Where every piece of every document goes: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Only lengths and checksums are shuffled; sequences() brings ids and places
-    together. A null text counts as empty. Rows repeated with their doc_id, and rows
-    without one, are packed each time, in one group. An empty table gives no rows;
+    together. A null text counts as empty. Rows that share a doc_id are packed each
+    time, in one group; rows without one each time, spread over all groups. An empty table gives no rows;
     columns beyond doc_id and text are not read.
     """
-    kept = stored(pieces(docs, capacity, tokenizer, with_ids=False).drop("ids"), "pieces")
+    kept = stored(pieces(docs, capacity, tokenizer, with_ids=False).drop("ids").withColumn("row", F.monotonically_increasing_id()), "pieces")
     return pack(kept, kept.filter("start = 0").count(), capacity)
 
 
