@@ -44,6 +44,22 @@ def named() -> Column:
     return F.nullif(F.col("doc_id"), F.lit(NO_ID)).alias("doc_id")
 
 
+def by_text(docs: DataFrame) -> DataFrame:
+    """docs with a struct of doc_id (NO_ID for null) and a hash of the text in place of doc_id.
+
+    Rows that share a doc_id, or lack one, but differ in text are kept apart; rows
+    alike in both get the same result anyway. Unlike a row number it is the same in
+    every scan, so nothing need be stored. Texts of one id whose 64-bit hashes
+    collide count as one.
+    """
+    return docs.withColumn("doc_id", F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash")))
+
+
+def named_by_text() -> Column:
+    """doc_id as it was before by_text()."""
+    return F.nullif(F.col("doc_id.id"), F.lit(NO_ID)).alias("doc_id")
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case, every other character as it is."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

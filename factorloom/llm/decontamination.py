@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import NO_ID, keyed, named, small, small_ids, stored, texts, words
+from factorloom.llm.common import by_text, named_by_text, small, small_ids, stored, texts, words
 
 WINDOW, KEYS = 13, 3
 
@@ -96,33 +96,38 @@ def proximity_matches(docs: DataFrame, pairs: DataFrame, within: int = 8) -> Dat
     return a.join(b, ["term_b", "doc_id", "stretch"]).filter((near <= within) & (near > 0)).select("pair_id", "doc_id", "pos_a", "pos_b")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, one_in: int = 20) -> DataFrame:
-    """Per document doc_id, n_words, n_hit (words inside a match), n_items, items_sha256 and contaminated (at least one word in `one_in` is hit).
-
-    Null texts and texts without words have no hits and are not contaminated. Rows
-    repeated with their doc_id are returned each time, with their hits together;
-    rows without doc_id count as of one id. Empty tables give no rows or no hits;
-    columns beyond doc_id, item_id and text are not read.
-    """
-    docs = keyed(docs)
+def _judged(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, one_in: int = 20) -> DataFrame:
+    """contamination() of the rows of by_text(), whose doc_id it keeps."""
     matches = stored(phrase_matches(docs, benchmark, window), "matches")
     hit = matches.select("doc_id", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("at")).distinct().groupBy("doc_id").agg(F.count("*").alias("hit"))
     items = matches.select("doc_id", F.col("item_id").cast("string").alias("item")).distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("item")).alias("items"), F.count("*").alias("n_items"))
     found = hit.join(items, "doc_id")
     counted = texts(docs).select("doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    some = F.col("n_words") > 0  # rows that share an id may differ in text
-    n_hit = F.when(some, F.coalesce("hit", F.lit(0))).otherwise(0).cast("long")
-    listed = F.when(some & F.col("items").isNotNull(), F.col("items")).otherwise(F.array().cast("array<string>"))
+    n_hit = F.coalesce("hit", F.lit(0)).cast("long")
+    listed = F.coalesce("items", F.array().cast("array<string>"))
     return counted.join(found, "doc_id", "left").select(
-        named(), "n_words", n_hit.alias("n_hit"), F.when(some, F.coalesce("n_items", F.lit(0))).otherwise(0).cast("long").alias("n_items"), F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"),
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"),
         ((n_hit > 0) & (n_hit * one_in >= F.col("n_words"))).alias("contaminated"),
     )
 
 
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, one_in: int = 20) -> DataFrame:
+    """Per document doc_id, n_words, n_hit (words inside a match), n_items, items_sha256 and contaminated (at least one word in `one_in` is hit).
+
+    Null texts and texts without words have no hits and are not contaminated. Every
+    row is judged by its own text, also where rows share a doc_id or lack one;
+    repeated rows are returned each time. Empty tables give no rows or no hits;
+    columns beyond doc_id, item_id and text are not read.
+    """
+    return _judged(by_text(docs), benchmark, window, one_in).withColumn("doc_id", named_by_text())
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that are not contaminated, all their columns kept.
 
-    Nulls count as in contamination(); with an empty benchmark all documents stay.
+    Nulls, repeated rows and rows that share a doc_id count as in contamination();
+    with an empty benchmark all documents stay.
     """
-    bad = small_ids(stored(contamination(docs, benchmark).filter("contaminated").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("bad")).distinct(), "contaminated"))
-    return docs.join(bad, F.coalesce("doc_id", F.lit(NO_ID)) == bad["bad"], "left_anti")
+    bad = small_ids(stored(_judged(by_text(docs), benchmark).filter("contaminated").select(F.col("doc_id").alias("bad")).distinct(), "contaminated"))
+    key = by_text(docs.select("doc_id", "text", F.struct(*docs.columns).alias("row")))
+    return key.join(bad, key["doc_id"] == bad["bad"], "left_anti").select("row.*")

@@ -9,7 +9,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import keyed, lower_ascii, named, small, stored, texts, words
+from factorloom.llm.common import by_text, lower_ascii, named_by_text, small, stored, texts, words
 
 #: The phrases that are looked for word by word, and their labels.
 PHRASES = {
@@ -132,18 +132,18 @@ def license_scan(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, template
     The score is the largest containment of a template in a line or in a run of
     words as long as the longest template, and 1 where a phrase stands; 0 where
     nothing was found. Null texts count as empty, and empty texts have no words and
-    no labels. Rows repeated with their doc_id are returned each time, with the
-    labels of all of them; rows without doc_id count as of one id. An empty table
-    gives no rows; columns beyond doc_id and text are not read.
+    no labels. Every row has the labels of its own text, also where rows share a
+    doc_id or lack one; repeated rows are returned each time. An empty table gives
+    no rows; columns beyond doc_id and text are not read.
     """
-    docs = keyed(docs)
+    docs = by_text(docs)
     blocks = similar_blocks(docs, templates, threshold).groupBy("doc_id").agg(F.collect_set("label").alias("near"), F.max("containment").alias("best"))
     base = phrase_places(docs, phrases)
     starts = F.transform("places", lambda x: x["start"])
     own = F.sort_array(F.array_distinct(F.transform("places", lambda x: x["label"])))
     near = F.coalesce("near", F.array().cast("array<string>"))
     return base.join(blocks, "doc_id", "left").select(
-        named(), F.col("n_words").cast("long").alias("n_words"), F.size("places").cast("long").alias("n_base"),
+        named_by_text(), F.col("n_words").cast("long").alias("n_words"), F.size("places").cast("long").alias("n_base"),
         F.array_min(starts).cast("long").alias("first_word"), F.array_max(starts).cast("long").alias("last_word"),
         F.array_join(own, ",").alias("base_labels"), F.array_join(F.sort_array(F.array_union(own, near)), ",").alias("labels"),
         F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"),

@@ -48,6 +48,35 @@ def test_rows_without_id(spark, odd, bench):
     assert len(marked) == 1 and marked[0].doc_id is None and "mit" in marked[0].labels
 
 
+def test_rows_are_judged_by_their_own_text(spark, bench):
+    data = [(None, PASSAGE), (None, TEXT), (None, NOTICE), (1, TEXT), (1, PASSAGE), (1, TEXT), (2, NOTICE), (2, PASSAGE + " " + NOTICE)]
+    frame = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(data)], "doc_id long, text string, hash int")
+    alone = brute_contamination(list(enumerate(t for _, t in data)), ITEMS)
+    got = sorted(((r.doc_id or 0, r.n_words, r.n_hit, r.n_items, r.contaminated) for r in decontamination.contamination(frame, bench).collect()))
+    assert got == sorted((i or 0, *(alone[k][c] for c in ("n_words", "n_hit", "n_items", "contaminated"))) for k, (i, _) in enumerate(data))
+    left = decontamination.decontaminate(frame, bench)
+    assert left.columns == frame.columns and sorted(r.hash for r in left.collect()) == [k for k, v in alone.items() if not v["contaminated"]]
+    single = {t: licenses.license_scan(spark.createDataFrame([(0, t)], "doc_id long, text string")).first() for t in {t for _, t in data}}
+    licensed = sorted((r.doc_id or 0, r.n_words, r.labels, r.score) for r in licenses.license_scan(frame).collect())
+    assert licensed == sorted((i or 0, single[t].n_words, single[t].labels, single[t].score) for i, t in data)
+
+
+def test_packing_spreads_rows_without_id(spark):
+    big = (1 << 53) + 1
+    data = [*[(None, "the same text")] * 40, *[(big + k, "another text " * k) for k in range(40)]]
+    kept = packing.stored(packing.pieces(spark.createDataFrame(data, "doc_id long, text string"), 16, with_ids=False).drop("ids").withColumn("row", F.monotonically_increasing_id()), "pieces")
+    placed = packing.pack(kept, len(data), 16, group_docs=8).collect()
+    assert sorted({r.doc_id for r in placed if r.doc_id is not None}) == [big + k for k in range(40)]
+    assert len({r.sequence_id >> 32 for r in placed if r.doc_id is None}) > 3 and len(placed) == kept.count()
+    assert placed[0].asDict().keys() == {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"}
+    for s in {r.sequence_id for r in placed}:
+        at = 0
+        for r in sorted((r for r in placed if r.sequence_id == s), key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 16
+
+
 def test_stages_keep_the_rest(spark, odd, tmp_path):
     for t in ("benchmark", "labels"):
         spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
