@@ -106,6 +106,37 @@ def screened(weights: DataFrame, excluded: DataFrame, most: float, least: float
     return capped(kept.withColumn("weight", F.col("weight") / F.sum("weight").over(Window.partitionBy("date"))), most, least)
 
 
+def risk_managed(
+    weights: DataFrame, caps: DataFrame | None = None, flagged: DataFrame | None = None, industry: DataFrame | None = None,
+    most: float = 0.05, least: float = 0.001, most_industry: float = 0.3, percentile: float = 0.0,
+) -> DataFrame:
+    """Weights (date, instrument, weight) under the limits of a risk manager, applied on each date in this order.
+
+    Names whose cap (date, instrument, cap) lies below the linear `percentile` of
+    the caps of the date's names go, names without a cap stay; then `flagged` names
+    (date, instrument) go. Weights are cut to `most`, what is then under `least` or
+    null goes, and the rest is made to sum to 1. Industries (instrument, industry)
+    above `most_industry` are scaled down to it, once, and all to 1 again: where any
+    name of a date is listed there, names that are not go, and a null industry has
+    no limit. A date whose names all go has no rows.
+    """
+    day, cell = Window.partitionBy("date"), ["date", "instrument"]
+    held = weights.select(*cell, "weight")
+    if caps is not None and percentile > 0:
+        valued = held.join(caps.select(*cell, "cap"), cell, "left").withColumn("edge", F.percentile("cap", F.lit(percentile)).over(day))
+        held = valued.filter("cap is null or cap >= edge").select(*cell, "weight")
+    if flagged is not None:
+        held = held.join(flagged.select(*cell).distinct(), cell, "left_anti")
+    share = F.col("weight") / F.sum("weight").over(day)
+    cut = held.filter("weight is not null").withColumn("weight", F.least("weight", F.lit(most))).filter(F.col("weight") >= least).withColumn("weight", share)
+    if industry is None:
+        return cut
+    known = cut.join(industry.select("instrument", "industry", F.lit(True).alias("listed")), "instrument", "left").withColumn("any", F.max("listed").over(day))
+    total = F.sum("weight").over(Window.partitionBy("date", "industry"))
+    bounded = F.when(F.col("industry").isNotNull() & (total > most_industry), F.col("weight") * most_industry / total).otherwise(F.col("weight"))
+    return known.filter("listed or any is null").withColumn("weight", bounded).select(*cell, share.alias("weight"))
+
+
 def return_metrics(daily: DataFrame, periods: int = 252, risk_free: float = 0.0) -> DataFrame:
     """One row from (date, ret, market): Sharpe, drawdown by product and by sum, Calmar, information ratio, win rate, Sortino, beta."""
     past = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)

@@ -89,7 +89,7 @@ def _register() -> None:
         "prod": (lambda: library.PROD("close", "volume"), "close * volume"), "kept": (lambda: library.FILTER("close", F.col("close") > F.col("open")), "close * CASE WHEN close > open THEN 1 WHEN close <= open THEN 0 END"), "inv": (lambda: library.INV("volume"), "1 / nullif(volume, 0)"),
         "middle": (lambda: library.BB_MIDDLE("volume", 5), f"avg(volume) OVER {_W}"), "dynamic": (lambda: library.BB_MIDDLE(F.coalesce("volume", F.lit(0.0)), F.lit(3)), f"avg(coalesce(volume, 0)) OVER {_w(3)}"),
     })
-    # Moments and recursions have no SQL that agrees to the last digits; tests hold them against pandas.
+    # The SQL of moments and recursions is in oracles.
     for name, columns in {
         "d3_moments": {"skew": lambda: expression.ts_skew("volume", 6), "kurt": lambda: expression.ts_kurt("volume", 6), "mad": lambda: numeric.ts_mad("volume", 5), "floored_corr": lambda: numeric.ts_corr("open", "volume", 5), "floored_ir": lambda: numeric.ts_ir("volume", 5)},
         "d4_moments": {"skew": lambda: sampled.Skew("volume", 8), "kurt": lambda: sampled.Kurt("volume", 8), "mad": lambda: sampled.Mad("volume", 8)},

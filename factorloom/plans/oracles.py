@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from factorloom.plans import dialects, library, queries, reports
 from factorloom.plans.queries import _O, _panel, _w
-from factorloom.plans.reports import _LONG, _place
+from factorloom.plans.reports import _CORR, _DAY, _LONG, _SUMMARY, _place
 
 _PAST = "(PARTITION BY instrument ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 _BEFORE = "(PARTITION BY instrument ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
@@ -58,6 +58,23 @@ def _moments() -> str:
     return f"{_panel('supplier')} SELECT date, instrument, {_r(cell('skewness', 5), 'skew')}, {_r(cell('kurtosis', 5), 'kurt')} FROM g"
 
 
+def _full_moments() -> str:
+    w, five = _w(6), _w(5)
+    known = lambda sql: f"CASE WHEN count(volume) OVER {w} = 6 AND min(volume) OVER {w} < max(volume) OVER {w} THEN {sql} END"
+    skew, kurt = known(f"skewness(volume) OVER {w} * 4 / sqrt(30)"), known(f"(kurtosis_pop(volume) OVER {w} + 3) * 25 / 36 - 3")
+    dev = lambda x: f"greatest(stddev_pop({x}) OVER {five}, 1e-8)"
+    warm = lambda sql: f"CASE WHEN i >= 4 THEN {sql} END"
+    middle = f"m AS (SELECT *, quantile_cont(volume, 0.5) OVER {five} AS mid, list(volume) FILTER (volume IS NOT NULL) OVER {five} AS cells FROM g)"
+    return f"""{_panel('supplier')}, {middle} SELECT date, instrument, {_r(skew, 'skew')}, {_r(kurt, 'kurt')}, {_r(warm("list_median(list_transform(cells, lambda v: abs(v - mid)))"), 'mad')},
+        {_r(warm(f"covar_pop(open, volume) OVER {five} / ({dev('open')} * {dev('volume')})"), 'floored_corr')}, {_r(warm(f"avg(volume) OVER {five} / {dev('volume')}"), 'floored_ir')} FROM m"""
+
+
+def _sampled_moments() -> str:
+    cells = f"m AS (SELECT *, avg(volume) OVER {_w(8)} AS mean, list(volume) FILTER (volume IS NOT NULL) OVER {_w(8)} AS cells FROM g)"
+    head, body = _moments().split(" SELECT date, instrument, ", 1)
+    return f"{head}, {cells} SELECT date, instrument, {_r('CASE WHEN len(cells) >= 4 THEN list_sum(list_transform(cells, lambda v: abs(v - mean))) / len(cells) END', 'mad')}, {body.removesuffix('g')}m"
+
+
 _TARGETS = queries.ORACLE_SQL["top_weights"].rsplit(" SELECT date, instrument, round(w", 1)[0] + ", t AS (SELECT date, instrument, w / sum(w) OVER (PARTITION BY date) AS w FROM y)"
 
 
@@ -75,11 +92,42 @@ def _by_day(x: str) -> str:
     return f"coalesce(({x} - avg({x}) OVER d) / nullif(stddev_pop({x}) OVER d, 0), 0)"
 
 
+_REGIONS = "JOIN supplier ON instrument = CAST(s_suppkey AS VARCHAR) JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
+_SHRUNK = f"""{_SUMMARY}, sizes AS (SELECT factor, mean_ic, abs(icir) AS size, count(*) OVER () AS n, min(greatest(2, days)) OVER () AS rounds FROM s),
+    drawn AS (SELECT *, greatest(0.05, least(0.5, 1 / (1 + greatest(0, var_pop(size) OVER () * rounds - 1)))) AS draw, size * size / (sum(size * size) OVER () + 1e-12) AS share FROM sizes),
+    mixed AS (SELECT *, (1 - draw) * share + draw / n AS w FROM drawn),
+    shrunk AS (SELECT factor, CASE WHEN sum(size) OVER () < 1e-8 THEN 1.0 / n ELSE w / (sum(w) OVER () + 1e-12) END AS weight, CASE WHEN abs(mean_ic) <= 1e-10 THEN 1.0 ELSE CAST(sign(mean_ic) AS DOUBLE) END AS sign FROM mixed)"""
+
+
+def _composite() -> str:
+    """The standard scores of mad_scores before rounding, mixed by weights that fall with the place of a factor's name."""
+    steps, value = reports.ORACLE_SQL["mad_scores"].removeprefix(_LONG).rsplit("SELECT factor, date, instrument, round(", 1)
+    scores = f"z AS (SELECT factor, date, instrument, {value.removesuffix(', 6) AS value FROM c')} AS value FROM c)"
+    return f"""{_SUMMARY}{steps}, {scores}, raw AS (SELECT factor, exp(-0.3 * (row_number() OVER (ORDER BY factor) - 1)) AS raw, CASE WHEN abs(mean_ic) <= 1e-10 THEN 1.0 ELSE CAST(sign(mean_ic) AS DOUBLE) END AS sign FROM s),
+        w AS (SELECT factor, sign * raw / sum(raw) OVER () AS w FROM raw), sc AS (SELECT date, instrument, sum(w * value) AS score FROM z JOIN w USING (factor) GROUP BY ALL)
+        SELECT date, instrument, round(CASE WHEN count(score) OVER d < 5 THEN score ELSE (score - avg(score) OVER d) / (stddev_samp(score) OVER d + 1e-8) END, 6) + 0 AS score FROM sc WINDOW d AS (PARTITION BY date)"""
+
+
+def _performance() -> str:
+    head, body = library.ORACLE_SQL["held_returns"].rsplit(" SELECT w.date, round(", 1)
+    ret = body.replace(", 6) AS ret", " AS ret", 1)
+    return f"""{head.rstrip()}, hr AS (SELECT w.date, {ret}), v AS (SELECT *, product(1 + ret) OVER (ORDER BY date) AS nav FROM hr), dn AS (SELECT *, nav / max(nav) OVER (ORDER BY date) - 1 AS down FROM v),
+        f AS (SELECT count(*) AS n, arg_max(nav, date) AS nav, stddev_samp(ret) * sqrt(12) AS vol, abs(min(down)) AS dd, avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) AS win FROM dn),
+        old AS (SELECT d.next AS date, instrument, w AS was FROM w JOIN d USING (date) WHERE d.next IS NOT NULL), new AS (SELECT * FROM w WHERE date IN (SELECT next FROM d)),
+        mv AS (SELECT coalesce(new.date, old.date) AS date, new.w, was FROM new FULL JOIN old ON new.date = old.date AND new.instrument = old.instrument),
+        t AS (SELECT date, CASE WHEN count(CASE WHEN was IS NOT NULL THEN w END) = 0 THEN 1 ELSE sum(abs(coalesce(w, 0) - coalesce(was, 0))) / 2 END AS t FROM mv GROUP BY date),
+        a AS (SELECT *, pow(nav, 12.0 / n) - 1 AS annual, (SELECT sum(t) FROM t) AS moved, (SELECT count(DISTINCT date) FROM w) AS n_portfolios FROM f)
+        SELECT round(nav - 1, 4) AS total_return, round(annual, 4) AS annual_return, round(vol, 4) AS volatility, round(coalesce(annual / nullif(vol, 0), 0), 4) AS sharpe, round(dd, 4) AS max_drawdown, round(coalesce(annual / nullif(dd, 0), 0), 4) AS calmar,
+            round(win, 4) AS win_rate, round(coalesce(moved / nullif(n_portfolios, 0), 0), 4) AS avg_turnover, n AS n_periods, n_portfolios FROM a"""
+
+
 _MASKED = "covar_pop({a}, {b}) / CASE WHEN stddev_pop({a}) < 1e-3 OR stddev_pop({b}) < 1e-3 THEN 1 ELSE stddev_pop({a}) * stddev_pop({b}) END"
 
 ORACLE_SQL: dict[str, str] = {
     "d1_moments": _moments(),
     "d1_ts_decay": _decay(),
+    "d3_moments": _full_moments(),
+    "d4_moments": _sampled_moments(),
     "d2_ema_macd_mad": _ema_macd_mad(),
     "d2_recursions": _recursions(),
     "technical_features": _features(),
@@ -90,6 +138,21 @@ ORACLE_SQL: dict[str, str] = {
         SELECT date, round(CASE WHEN count(CASE WHEN was IS NOT NULL THEN w END) = 0 THEN 1 ELSE sum(abs(coalesce(w, 0) - coalesce(was, 0))) / 2 END, 6) AS turnover FROM moved GROUP BY date""",
     "weights_on_grid": f"""{_TARGETS}, s AS (SELECT g.date, g.instrument, CASE WHEN g.date IN (SELECT date FROM t) THEN coalesce(t.w, 0) END AS w FROM g LEFT JOIN t ON g.date = t.date AND g.instrument = t.instrument),
         f AS (SELECT date, instrument, round(coalesce(last_value(w IGNORE NULLS) OVER {_PAST}, 0), 6) AS weight FROM s) SELECT * FROM f WHERE date >= DATE '1995-01-01'""",
+    "industry_size_residuals": f"""{_panel('supplier')}, k AS (SELECT date, instrument, close AS v, ln(greatest(amount, 1e-10)) AS s, r_name AS ind FROM p {_REGIONS}),
+        c AS (SELECT *, v - avg(v) OVER (PARTITION BY date, ind) AS y, s - avg(s) OVER (PARTITION BY date, ind) AS x, count(*) OVER (PARTITION BY date) AS n FROM k)
+        SELECT date, instrument, round(CASE WHEN n < 20 THEN v ELSE y - coalesce(sum(x * y) OVER d / nullif(sum(x * x) OVER d, 0), 0) * x END, 4) + 0 AS value FROM c WINDOW d AS (PARTITION BY date)""",
+    "shrunk_weights": f"{_SHRUNK} SELECT factor, round(weight, 6) AS weight, sign FROM shrunk",
+    "penalised_weights": f"""{_SHRUNK}, r AS (SELECT factor, date, instrument, ({_place('value')}) / count(value) OVER {_DAY} AS r FROM x WHERE value IS NOT NULL),
+        pp AS (SELECT a.factor AS a, b.factor AS b, CASE WHEN count(*) >= 100 THEN coalesce(abs({_CORR.format(a='a.r', b='b.r')}), 0) ELSE 0 END AS rho FROM r a JOIN r b ON a.date = b.date AND a.instrument = b.instrument AND a.factor < b.factor GROUP BY a.factor, b.factor),
+        e AS (SELECT en.factor, sum(rho * weight) AS e FROM (SELECT a AS factor, b AS other, rho FROM pp UNION ALL SELECT b, a, rho FROM pp) en JOIN shrunk ON shrunk.factor = en.other GROUP BY en.factor),
+        cut AS (SELECT factor, sign, weight / (1 + coalesce(e, 0) / CASE WHEN 1 - weight < 1e-10 THEN 1 ELSE 1 - weight END) AS w FROM shrunk LEFT JOIN e USING (factor))
+        SELECT factor, round(w / sum(w) OVER (), 6) AS weight, sign FROM cut""",
+    "composite_scores": _composite(),
+    "simple_performance": _performance(),
+    "risk_managed": f"""{_panel('supplier')}, b AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY date ORDER BY volume DESC, instrument) <= 20),
+        r AS (SELECT *, volume - min(volume) OVER (PARTITION BY date) + 1e-6 AS raw FROM b), w AS (SELECT *, raw / sum(raw) OVER (PARTITION BY date) AS w, quantile_cont(amount, 0.1) OVER (PARTITION BY date) AS edge FROM r),
+        m AS (SELECT date, instrument, least(w, 0.15) AS w FROM w WHERE amount >= edge AND high <> low AND w >= 0.01), k AS (SELECT date, instrument, r_name, w / sum(w) OVER (PARTITION BY date) AS w FROM m {_REGIONS}),
+        c AS (SELECT date, instrument, w * least(1.0, 0.3 / sum(w) OVER (PARTITION BY date, r_name)) AS w FROM k) SELECT date, instrument, round(w / sum(w) OVER (PARTITION BY date), 6) AS weight FROM c""",
     "normalised_ic": f"""{_LONG}, n AS (SELECT factor, date, instrument, {_by_day('value')} AS v, {_by_day('target')} AS t FROM x WINDOW d AS (PARTITION BY factor, date)), rk AS (SELECT *, {_place('v')} AS rv, {_place('t')} AS rt FROM n),
         c AS (SELECT factor, date, coalesce({_MASKED.format(a='v', b='t')}, 0) AS ic, coalesce({_MASKED.format(a='rv', b='rt')}, 0) AS rank_ic FROM rk GROUP BY factor, date)
         SELECT factor, count(*) AS days, round(avg(ic), 6) AS ic, round(avg(rank_ic), 6) AS rank_ic, round(avg(rank_ic) / nullif(stddev_samp(rank_ic), 0), 6) AS rank_icir FROM c GROUP BY factor""",

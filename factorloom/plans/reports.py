@@ -155,13 +155,21 @@ def weights_on_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(portfolio.on_grid(_targets(spark, sf_dir), panels.densify(panels.brand_panel(spark, sf_dir)), "1995-01-01"), "weight")
 
 
+def risk_managed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty suppliers of the largest volume a month, without small ones and those of one price, bounded by name and by region."""
+    panel = panels.supplier_panel(spark, sf_dir)
+    weights = portfolio.top_n(panel.select("date", "instrument", F.col("volume").alias("score")), 20, proportional=True)
+    kept = portfolio.risk_managed(weights, panel.withColumnRenamed("amount", "cap"), panel.filter("high = low"), panels.supplier_industry(spark, sf_dir), 0.15, 0.01, 0.3, 0.1)
+    return _round(kept, "weight")
+
+
 def return_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     dense = panels.densify(panels.brand_panel(spark, sf_dir))
     market = dense.select("date", F.coalesce(panels.padded_return(), F.lit(0.0)).alias("r")).groupBy("date").agg(F.avg("r").alias("market"))
     return portfolio.return_metrics(backtest(spark, sf_dir).join(market, "date"), 12)
 
 
-QUERIES = {f.__name__: f for f in (ic_matrix, paired_ic, ic_summaries, masked_ic, rolling_icir, walk_forward_choice, quantile_returns, monotonicity, top_turnover, end_turnover, spread_stats, factor_report, factor_pairs, pooled_pairs, diversity, overfitting, return_correlation, mad_scores, tail_scores, day_scores, industry_size_residuals, icir_weights, shrunk_weights, penalised_weights, composite_scores, weight_turnover, weights_on_grid, return_metrics)}
+QUERIES = {f.__name__: f for f in (ic_matrix, paired_ic, ic_summaries, masked_ic, rolling_icir, walk_forward_choice, quantile_returns, monotonicity, top_turnover, end_turnover, spread_stats, factor_report, factor_pairs, pooled_pairs, diversity, overfitting, return_correlation, mad_scores, tail_scores, day_scores, industry_size_residuals, icir_weights, shrunk_weights, penalised_weights, composite_scores, weight_turnover, weights_on_grid, risk_managed, return_metrics)}
 
 _SUMMARY = f"""{_PAIRED.format(least=10)}, s AS (SELECT factor, count(*) AS days, avg(spearman) AS mean_ic, avg(spearman) / nullif(stddev_samp(spearman), 0) AS ir, CASE WHEN count(*) < 20 THEN 0 ELSE avg(spearman) / nullif(stddev_pop(spearman), 0) END AS icir, avg(CASE WHEN spearman > 0 THEN 1.0 ELSE 0.0 END) AS win_rate FROM ic WHERE spearman IS NOT NULL GROUP BY factor)"""
 _SPREADS = f"""{_LONG}, ends AS (SELECT *, row_number() OVER (PARTITION BY factor, date ORDER BY value DESC, instrument) AS hi, row_number() OVER (PARTITION BY factor, date ORDER BY value, instrument) AS lo, count(*) OVER (PARTITION BY factor, date) AS m FROM known),
