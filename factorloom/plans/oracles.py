@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from factorloom.plans import dialects, library, queries, reports
 from factorloom.plans.queries import _O, _panel, _w
-from factorloom.plans.reports import _CORR, _DAY, _LONG, _SUMMARY, _place
+from factorloom.plans.reports import _CORR, _DATES, _DAY, _LONG, _PAIRED, _SUMMARY, _place
 
 _PAST = "(PARTITION BY instrument ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 _BEFORE = "(PARTITION BY instrument ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
@@ -99,6 +99,33 @@ _SHRUNK = f"""{_SUMMARY}, sizes AS (SELECT factor, mean_ic, abs(icir) AS size, c
     shrunk AS (SELECT factor, CASE WHEN sum(size) OVER () < 1e-8 THEN 1.0 / n ELSE w / (sum(w) OVER () + 1e-12) END AS weight, CASE WHEN abs(mean_ic) <= 1e-10 THEN 1.0 ELSE CAST(sign(mean_ic) AS DOUBLE) END AS sign FROM mixed)"""
 
 
+def _factor_report() -> str:
+    of = reports.ORACLE_SQL
+    share = "1 - count(*) FILTER (a AND b) / count(*) FILTER (a OR b)"
+    turnover = of["top_turnover"].replace(f"round({share}, 6)", share)
+    return f"""SELECT * FROM ({of['ic_summaries']}) LEFT JOIN (SELECT * EXCLUDE (days) FROM ({of['spread_stats']})) USING (factor) LEFT JOIN ({of['monotonicity']}) USING (factor)
+        LEFT JOIN (SELECT factor, round(avg(turnover), 6) AS turnover FROM ({turnover}) GROUP BY factor) USING (factor)"""
+
+
+def _overfitting(split: str = "DATE '1996-01-01'") -> str:
+    few = "n_in < 50 OR n_out < 50"
+    return f"""{_PAIRED.format(least=3)}, n AS (SELECT factor, count(*) FILTER (date < {split}) AS n_in, count(*) FILTER (date >= {split}) AS n_out FROM x GROUP BY factor),
+        side AS (SELECT factor, date < {split} AS early, avg(spearman) AS ic, CASE WHEN count(*) < 20 THEN 0 ELSE avg(spearman) / nullif(stddev_pop(spearman), 0) END AS icir FROM ic WHERE spearman IS NOT NULL GROUP BY ALL),
+        j AS (SELECT n.*, coalesce(e.ic, 0) AS a, coalesce(l.ic, 0) AS b, coalesce(e.icir, 0) AS c, coalesce(l.icir, 0) AS d FROM n LEFT JOIN side e ON e.factor = n.factor AND e.early LEFT JOIN side l ON l.factor = n.factor AND NOT l.early),
+        r AS (SELECT *, CASE WHEN a * b > 0 THEN least(1.5, abs(b) / nullif(abs(a), 0)) ELSE -0.5 END AS ratio FROM j)
+        SELECT factor, round(CASE WHEN {few} THEN 0.5 WHEN abs(a) <= 0.001 THEN CASE WHEN abs(b) <= 0.001 THEN 0.5 ELSE 0.3 END WHEN ratio > 1 THEN 0.8 + 0.1 * least(ratio - 1, 0.5) WHEN ratio > 0.8 THEN 0.7 + 0.3 * (ratio - 0.8) / 0.2
+            WHEN ratio > 0.5 THEN 0.4 + 0.3 * (ratio - 0.5) / 0.3 WHEN ratio > 0 THEN 0.2 + 0.2 * ratio / 0.5 ELSE 0.1 END, 6) AS overfitting,
+            round(CASE WHEN {few} THEN 1.0 WHEN abs(c) < 0.1 THEN CASE WHEN abs(d) < 0.1 THEN 1.0 ELSE 0.5 END ELSE d / nullif(c, 0) END, 6) AS decay FROM r"""
+
+
+def _five_scores() -> str:
+    return f"""{_SUMMARY.replace('>= 10', '>= 3')}, {_DATES}, pl AS (SELECT factor, date, instrument, i, ({_place('value')}) / count(value) OVER {_DAY} AS r FROM x JOIN dates USING (factor, date)),
+        moved AS (SELECT a.factor, a.date, avg(abs(a.r - b.r)) AS d FROM pl a JOIN pl b ON a.factor = b.factor AND a.instrument = b.instrument AND a.i = b.i + 1 WHERE a.r IS NOT NULL AND b.r IS NOT NULL GROUP BY a.factor, a.date HAVING count(*) >= 3),
+        steady AS (SELECT factor, 1 - avg(d) AS turnover FROM moved GROUP BY factor)
+        SELECT factor, round(mean_ic, 6) AS effectiveness, round(icir, 6) AS stability, round(turnover, 6) AS turnover, coalesce(diversity, 1) AS diversity, overfitting FROM s LEFT JOIN steady USING (factor) LEFT JOIN ({reports.ORACLE_SQL['diversity']}) USING (factor)
+            LEFT JOIN ({_overfitting()}) USING (factor) WHERE factor IN (SELECT factor FROM known GROUP BY factor HAVING count(*) >= 100)"""
+
+
 def _composite() -> str:
     """The standard scores of mad_scores before rounding, mixed by weights that fall with the place of a factor's name."""
     steps, value = reports.ORACLE_SQL["mad_scores"].removeprefix(_LONG).rsplit("SELECT factor, date, instrument, round(", 1)
@@ -147,6 +174,9 @@ ORACLE_SQL: dict[str, str] = {
         e AS (SELECT en.factor, sum(rho * weight) AS e FROM (SELECT a AS factor, b AS other, rho FROM pp UNION ALL SELECT b, a, rho FROM pp) en JOIN shrunk ON shrunk.factor = en.other GROUP BY en.factor),
         cut AS (SELECT factor, sign, weight / (1 + coalesce(e, 0) / CASE WHEN 1 - weight < 1e-10 THEN 1 ELSE 1 - weight END) AS w FROM shrunk LEFT JOIN e USING (factor))
         SELECT factor, round(w / sum(w) OVER (), 6) AS weight, sign FROM cut""",
+    "factor_report": _factor_report(),
+    "overfitting": _overfitting(),
+    "five_scores": _five_scores(),
     "composite_scores": _composite(),
     "simple_performance": _performance(),
     "risk_managed": f"""{_panel('supplier')}, b AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY date ORDER BY volume DESC, instrument) <= 20),

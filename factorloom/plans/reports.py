@@ -83,7 +83,7 @@ def spread_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def factor_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.factor_report(exposures(spark, sf_dir), 8, 12)
+    return _round(reports.factor_report(exposures(spark, sf_dir), 8, 12), "mean_ic", "ir", "icir", "win_rate", "sharpe", "volatility", "max_drawdown", "monotonicity", "turnover")
 
 
 def factor_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

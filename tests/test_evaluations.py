@@ -22,7 +22,7 @@ def test_query_equals_sql(spark, duck, name):  # noqa: F811
     pd.testing.assert_frame_equal(got, want, check_dtype=False, rtol=1e-8, atol=2e-6)
 
 
-@pytest.mark.parametrize("name", ["d3_moments", "d4_moments", "industry_size_residuals", "shrunk_weights", "penalised_weights", "composite_scores", "simple_performance", "risk_managed"])
+@pytest.mark.parametrize("name", ["factor_report", "overfitting", "five_scores", "d3_moments", "d4_moments", "industry_size_residuals", "shrunk_weights", "penalised_weights", "composite_scores", "simple_performance", "risk_managed"])
 def test_fusion_and_portfolio_equal_sql(spark, duck, name):  # noqa: F811
     got, want = (f.sort_values([*f.columns]).reset_index(drop=True) for f in (ordered(oracles.QUERIES[name](spark, SF).toPandas()), ordered(duck.sql(oracles.ORACLE_SQL[name]).df())))
     assert len(got)
