@@ -3,19 +3,21 @@
 Equal vectors are one class, however many rows hold them. Classes are put into the
 cell of the nearest of some centres; a cell knows the smallest and the largest
 angle of its classes to its centre, so for a query at a known angle to the centre
-no class in it can be nearer than the difference. A query first looks into its own
-cell and the most promising others; then only into cells that may still hold
-something as near as the worst that it would keep.
+no class in it can be nearer than the difference. Runs of cells are groups. A query
+is first compared within its own group, its own cell before the others; then it
+goes to the groups, and there to the cells, that may still hold something as near
+as the worst that it would keep. A pair of groups is one task, which compares tiles
+in single precision and the pairs that may count in double precision.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Accumulator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,8 +26,10 @@ from factorloom.sources.stages import Stages
 
 #: Centres are at most so many sampled vectors, about the square root of the number of classes.
 CENTRES = 1024
-#: Classes to a block of a cell, queries that are compared with a block at once, and cells besides its own that a query looks into first.
-BLOCK, QUERIES, FIRST = 2048, 4096, 3
+#: Fewest classes that are dealt to more than one group, most classes of a group, and groups that smaller tables are dealt to.
+BLOCK, GROUP, GROUPS = 2048, 32768, 8
+#: Queries and classes of a cell to a tile of comparisons.
+QUERIES, TILE = 4096, 2048
 #: What rounding of similarities to 6 digits may hide.
 _SLACK = 2e-6
 
@@ -56,62 +60,65 @@ class VectorIndex:
         self.first = {size: sum(len(c) for s, c in self.centres.items() if s < size) for size in self.centres}  # number of a length's first cell
         assign = _assigner(self.centres, self.first)
         placed = self.stages.store(directed.mapInArrow(assign, "cid long, v array<double>, ids array<long>, u array<double>, cell long, angle double"))
-        figures = placed.filter("cell >= 0").groupBy("cell").agg(F.count("*").alias("n"), F.min("angle").alias("inner"), F.max("angle").alias("outer")).collect()
-        others = placed.filter("cell < 0").count()
-        self.cells = {r.cell: (r.inner, r.outer, -(-r.n // BLOCK)) for r in figures} | ({-1: (0.0, math.pi, -(-others // BLOCK))} if others else {})
-        splits = F.create_map(*[F.lit(x) for c, (_, _, s) in self.cells.items() for x in (c, s)]) if self.cells else F.create_map(F.lit(0), F.lit(1))
-        self.classes = self.stages.store(placed.withColumn("block", F.concat_ws(".", "cell", F.pmod(F.xxhash64("cid"), F.coalesce(splits[F.col("cell")], F.lit(1))))))
+        figures = placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("angle").alias("inner"), F.max("angle").alias("outer")).orderBy("cell").collect()
+        # The groups are runs of about equal length of the classes by cell; a large cell lies in several.
+        width, start, places = -(-n // max(-(-n // GROUP), min(GROUPS, -(-n // BLOCK)), 1)), 0, []
+        self.cells: dict[int, tuple[float, float, int, int]] = {}  # smallest and largest angle, first and last group
+        for r in figures:
+            inner, outer = (r.inner, r.outer) if r.cell >= 0 else (0.0, math.pi)
+            self.cells[r.cell] = (inner, outer, start // width, (start + r.n - 1) // width)
+            places += [F.lit(r.cell), F.struct(F.lit(start).cast("long").alias("start"), F.lit(r.n).cast("long").alias("n"))]
+            start += r.n
+        self.groups = -(-start // width) if start else 0
+        at = F.create_map(*places)[F.col("cell")] if places else F.struct(F.lit(0).cast("long").alias("start"), F.lit(1).cast("long").alias("n"))
+        self.classes = self.stages.store(placed.withColumn("group", F.floor((at["start"] + F.pmod(F.xxhash64("cid"), at["n"])) / F.lit(max(width, 1))).cast("int")))
 
-    def _visits(self, queries: DataFrame, first: bool) -> DataFrame:
-        """cid, u and block of the cells that queries (cid, u, cell, worst) look into: at first their own and the FIRST that may hold the nearest, later the others that may hold something as near as `worst`."""
-        centres, starts, cells = self.centres, self.first, self.cells
+    def _visits(self, queries: DataFrame) -> DataFrame:
+        """cid, u, cell, worst, group and `to`: each query for the other groups that may hold something as near as `worst`."""
+        bound, cells, groups = _bounds(self.centres, self.first, self.cells), self.cells, self.groups
 
         def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                out: list[tuple] = []
-                for cid, u, own, worst in zip(*(b.column(c).to_pylist() for c in ("cid", "u", "cell", "worst")), strict=True):
-                    near = [(1.0, -1)] if -1 in cells and own == -1 else []
-                    if len(u) in centres:
-                        angle = np.arccos(np.clip(centres[len(u)] @ np.array(u), -1, 1))
-                        for i, a in enumerate(angle.tolist()):
-                            if (c := starts[len(u)] + i) in cells:
-                                inner, outer, _ = cells[c]
-                                near.append((math.cos(max(0.0, a - outer, inner - a)), c))
-                    near.sort(key=lambda x: (x[1] != own, -x[0], x[1]))
-                    chosen = near[: FIRST + 1] if first else [x for x in near[FIRST + 1 :] if worst is None or x[0] >= worst - _SLACK]
-                    out += [(cid, u, f"{c}.{s}") for _, c in chosen for s in range(cells[c][2])]
-                    if len(out) > 2000:
-                        yield _visited(out)
-                        out = []
-                yield _visited(out)
-
-        return queries.select("cid", "u", "cell", "worst").mapInArrow(visit, "cid long, u array<double>, block string")
-
-    def _compared(self, visits: DataFrame, pairs: Accumulator | None) -> DataFrame:
-        """cid, other, similarity: of each visit the `most` best classes of its block. A block that very many queries visit is handed to several tasks."""
-        most = self.most
-        visits = self.stages.store(visits)
-        chunks = self.stages.store(visits.groupBy("block").agg(F.ceil(F.count("*") / QUERIES).alias("chunks")))
-        asked = visits.join(chunks, "block").select("cid", "u", "block", F.pmod(F.xxhash64("cid"), F.col("chunks")).alias("chunk"))
-        held = self.classes.select("block", F.col("cid").alias("other"), F.col("u").alias("x")).join(chunks.toDF("block", "parts"), "block").select("block", "other", "x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("chunk"))
-
-        def best(q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
-            found = []
-            if len(m):
-                m = m.sort_values("other")
-                ids, sizes = m["other"].to_numpy(), m["x"].map(len).to_numpy()
-                for size, part in q.groupby(q["u"].map(len)):
-                    mine = ids[sizes == size]
-                    if len(mine):
-                        score = np.round(np.stack(part["u"]) @ np.stack(m["x"][sizes == size]).T, 6)
+                worst = b.column("worst").fill_null(-math.inf).to_numpy(zero_copy_only=False)
+                own = b.column("group").to_numpy()
+                wanted = np.zeros((len(worst), groups), bool)
+                for _, rows, u in _by_length(b.column("u")):
+                    near, names = bound(u)
+                    open_ = near >= (worst[rows] - _SLACK)[:, None]
+                    for c, name in enumerate(names):
+                        _, _, low, high = cells[name]
+                        wanted[rows, low : high + 1] |= open_[:, c, None]
+                wanted[np.arange(len(own)), own] = False
+                row, to = np.nonzero(wanted)
+                yield pa.RecordBatch.from_arrays([*b.select(["cid", "u", "cell", "worst", "group"]).take(pa.array(row)).columns, pa.array(to, pa.int32())], ["cid", "u", "cell", "worst", "group", "to"])
+
+        return queries.select("cid", "u", "cell", "worst", "group").mapInArrow(visit, "cid long, u array<double>, cell long, worst double, group int, to int")
+
+    def _compared(self, asked: DataFrame, held: DataFrame, pairs: Accumulator | None) -> DataFrame:
+        """cid, other, similarity: for each query (cid, u, cell, worst, group, to) the `most` best classes of the group `to`, where they are as near as `worst`."""
+        most, bound = self.most, _bounds(self.centres, self.first, self.cells)
+
+        def best(key: tuple, q: pa.Table, m: pa.Table) -> pa.Table:
+            inside, found = key[0].as_py() == key[1].as_py(), []
+            ids, cells = m["cid"].to_numpy(), m["cell"].to_numpy()
+            held = {size: (rows, x) for size, rows, x in _by_length(m["u"].combine_chunks())} if len(m) else {}
+            asked, own = q["cid"].to_numpy(), q["cell"].to_numpy()
+            worst = q["worst"].combine_chunks().fill_null(-math.inf).to_numpy(zero_copy_only=False) if len(q) else None
+            for size, rows, u in _by_length(q["u"].combine_chunks()) if len(q) else ():
+                if size in held:
+                    of, x = held[size]
+                    by = np.argsort(own[rows], kind="stable")
+                    rows, u = rows[by], u[by]
+                    for a in range(0, len(rows), QUERIES):
+                        part = slice(a, a + QUERIES)
+                        row, other, score, n = _nearest(u[part], own[rows[part]], worst[rows[part]], x, ids[of], cells[of], bound, inside, most)
+                        found.append((asked[rows[part]][row], other, score))
                         if pairs is not None:
-                            pairs.add(score.size)
-                        for cid, row in zip(part["cid"], score, strict=True):
-                            top = np.argsort(-row, kind="stable")[:most]
-                            found.append(pd.DataFrame({"cid": cid, "other": mine[top], "similarity": row[top]}))
-            return pd.concat(found) if found else pd.DataFrame({"cid": [], "other": [], "similarity": []})
+                            pairs.add(n)
+            columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.array([], t) for t in (np.int64, np.int64, float)]
+            return pa.table(dict(zip(("cid", "other", "similarity"), columns, strict=True)))
 
-        return self.stages.store(asked.groupBy("block", "chunk").cogroup(held.groupBy("block", "chunk")).applyInPandas(best, "cid long, other long, similarity double"))
+        return self.stages.store(asked.groupBy("group", "to").cogroup(held.groupBy("from", "group")).applyInArrow(best, "cid long, other long, similarity double"))
 
     def _kept(self, found: DataFrame) -> DataFrame:
         by = Window.partitionBy("cid").orderBy(F.desc("similarity"), "other")
@@ -119,18 +126,90 @@ class VectorIndex:
 
     def nearest_classes(self, pairs: Accumulator | None = None) -> DataFrame:
         """cid, other, similarity: for each class the `most` classes nearest to it, itself among them; ties by the smallest id."""
-        none = F.lit(None).cast("double")
-        first = self._compared(self._visits(self.classes.withColumn("worst", none), True), pairs)
-        if len(self.cells) <= FIRST + 1:  # all of them were looked into
-            return self._kept(first).select("cid", "other", "similarity")
-        worst = self._kept(first).filter(F.col("place") == self.most).select("cid", F.col("similarity").alias("worst"))
-        later = self._compared(self._visits(self.classes.join(worst, "cid", "left"), False), pairs)
+        none, held = F.lit(None).cast("double"), self.classes.select("cid", "u", "cell", "group")
+        first = self._compared(held.select("cid", "u", "cell", none.alias("worst"), "group", F.col("group").alias("to")), held.withColumn("from", F.col("group")), pairs)
+        if self.groups <= 1:  # all of them were looked into
+            return first
+        worst = first.groupBy("cid").agg(F.count("*").alias("n"), F.min("similarity").alias("worst")).filter(F.col("n") == self.most)
+        visits = self._visits(held.join(worst, "cid", "left"))
+        by_pair = held.withColumn("from", F.explode(F.sequence(F.lit(0), F.lit(self.groups - 1)))).filter(F.col("from") != F.col("group"))
+        later = self._compared(visits, by_pair, pairs)
         return self._kept(first.union(later)).select("cid", "other", "similarity")
 
 
-def _visited(rows: list[tuple]) -> pa.RecordBatch:
-    cid, u, block = zip(*rows, strict=True) if rows else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array(u, pa.list_(pa.float64())), pa.array(block, pa.string())], ["cid", "u", "block"])
+def _by_length(vectors: pa.ListArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Each length of vectors, the rows that have it and their matrix."""
+    sizes = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
+    for size in np.unique(sizes).tolist():
+        rows = np.flatnonzero(sizes == size)
+        own = vectors if len(rows) == len(sizes) else vectors.take(pa.array(rows))
+        yield size, rows, own.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), size)
+
+
+def _bounds(centres: dict[int, np.ndarray], first: dict[int, int], cells: dict[int, tuple]) -> Callable[[np.ndarray], tuple[np.ndarray, list[int]]]:
+    """A function that gives for vectors of one length the largest similarity that anything in a cell can have to each, and the cells' names."""
+
+    def bound(u: np.ndarray) -> tuple[np.ndarray, list[int]]:
+        size = u.shape[1]
+        if size not in centres:
+            return np.ones((len(u), 1)), [-1]
+        names = [c for i in range(len(centres[size])) if (c := first[size] + i) in cells]
+        angle = np.arccos(np.clip(u @ centres[size][[c - first[size] for c in names]].T, -1, 1))
+        inner, outer = (np.array([cells[c][i] for c in names]) for i in (0, 1))
+        return np.cos(np.maximum(0.0, np.maximum(angle - outer, inner - angle))), names
+
+    return bound
+
+
+def _nearest(u: np.ndarray, own: np.ndarray, worst: np.ndarray, x: np.ndarray, ids: np.ndarray, cells: np.ndarray, bound: Callable, inside: bool, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Rows of u, ids, similarities: the `most` classes of x nearest to each of u, where they are as near as `worst`; and the number of comparisons.
+
+    Cells are looked into as long as they may hold something as near as the worst
+    that a row would keep; `inside` the group its own cell comes first.
+    """
+    by = np.lexsort((ids, cells))
+    x, ids, cells = x[by], ids[by], cells[by]
+    names, starts = np.unique(cells, return_index=True)
+    ends = np.append(starts[1:], len(cells))
+    near, known = bound(u)
+    near = near[:, [known.index(c) for c in names.tolist()]]
+    single_u, single_x = u.astype(np.float32), x.astype(np.float32)
+    loose = 1e-6 + 1e-7 * (u.shape[1] + 4)  # what single precision and rounding may hide
+    least, compared = worst.copy(), 0
+    score, other = np.full((len(u), most), -math.inf), np.full((len(u), most), np.iinfo(np.int64).max)
+    for now in (True, False) if inside else (False,):
+        for c, name in enumerate(names):
+            wanted = own == name if now else near[:, c] >= least - _SLACK
+            if inside and not now:
+                wanted &= own != name
+            for a in range(starts[c], ends[c], TILE):
+                rows = np.flatnonzero(wanted)
+                if not len(rows):
+                    break
+                tile = single_u[rows] @ single_x[a : min(a + TILE, ends[c])].T
+                compared += tile.size
+                edge = least[rows] - loose
+                fresh = np.flatnonzero(edge == -math.inf)
+                if len(fresh) and tile.shape[1] > most:
+                    edge[fresh] = np.partition(tile[fresh], -most, axis=1)[:, -most] - 2 * loose
+                at = np.flatnonzero(tile >= edge.astype(np.float32)[:, None])
+                if not len(at):
+                    continue
+                i, j = np.divmod(at, tile.shape[1])
+                row, to = rows[i], a + j
+                exact = np.round(np.einsum("ij,ij->i", u[row], x[to]), 6)
+                kept = exact >= least[row]
+                row, to, exact = row[kept], to[kept], exact[kept]
+                some = np.unique(row)
+                all_row = np.concatenate([row, np.repeat(some, most)])
+                all_id, all_score = np.concatenate([ids[to], other[some].ravel()]), np.concatenate([exact, score[some].ravel()])
+                order = np.lexsort((all_id, -all_score, all_row))
+                _, begin = np.unique(all_row[order], return_index=True)
+                top = order[begin[:, None] + np.arange(most)]
+                other[some], score[some] = all_id[top], all_score[top]
+                least[some] = np.maximum(least[some], score[some, -1])
+    row, place = np.nonzero(score > -math.inf)
+    return row, other[row, place], score[row, place], compared
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,15 +227,12 @@ def _assigner(centres: dict[int, np.ndarray], first: dict[int, int]):
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cell, angle = [], []
-            for u in b.column("u").to_pylist():
-                if len(u) in centres:
-                    cos = centres[len(u)] @ np.array(u)
-                    cell.append(first[len(u)] + int(cos.argmax()))
-                    angle.append(math.acos(min(1.0, max(-1.0, float(cos.max())))))
-                else:
-                    cell.append(-1)
-                    angle.append(0.0)
+            cell, angle = np.full(len(b), -1), np.zeros(len(b))
+            for size, rows, u in _by_length(b.column("u")):
+                if size in centres:
+                    cos = u @ centres[size].T
+                    cell[rows] = first[size] + cos.argmax(axis=1)
+                    angle[rows] = np.arccos(np.clip(cos.max(axis=1), -1.0, 1.0))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.int64()), pa.array(angle, pa.float64())], [*b.schema.names, "cell", "angle"])
 
     return assign
@@ -168,7 +244,8 @@ def neighbours(memory: DataFrame, k: int, centres: int | None = None, pairs: Acc
     The rows are those of a comparison of all pairs. Vectors without a similarity
     (to a query: without direction, or of another length) come last, by vec_id.
     vec_id is a key. Where vectors lie in no clusters, bounds leave nothing out and
-    all classes are compared; `pairs` counts the comparisons of classes.
+    all classes are compared in tiles, a time that grows with the square of their
+    number; `pairs` counts the comparisons of classes.
     """
     index = VectorIndex(memory, k + 1, centres)
     near = index.nearest_classes(pairs)

@@ -46,3 +46,21 @@ def test_without_clusters_and_without_rows(spark):  # noqa: F811
     assert found(vector_index.neighbours(df, 2, centres=5)) == found(retrieval.neighbours(df, 2))
     assert found(vector_index.neighbours(df.limit(0), 2)) == []
     assert found(vector_index.neighbours(df.limit(1), 2)) == []
+
+
+def test_no_table_of_queries_by_cells(spark):  # noqa: F811
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, rng.normal(size=16).tolist()) for i in range(300)], KIND)
+    index = vector_index.VectorIndex(df, 3, centres=40)
+    assert index.nearest_classes().count() == 3 * 300
+    assert max(spark.read.parquet(p).count() for p in index.stages.held) <= 3 * 300
+
+
+def test_tiles_groups_and_ties_across_them(spark, monkeypatch):  # noqa: F811
+    for name, value in (("BLOCK", 60), ("QUERIES", 16), ("TILE", 9)):
+        monkeypatch.setattr(vector_index, name, value)
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.integers(-2, 3, size=3).astype(float).tolist()) for i in range(150)] + [(500 + i, [1.0 + i, 2.0 + 2 * i, 0.0]) for i in range(40)] + [(600 + i, rng.normal(size=5).tolist()) for i in range(200)]
+    df = spark.createDataFrame(rows, KIND)
+    assert vector_index.VectorIndex(df, 4, centres=6).groups > 2
+    assert found(vector_index.neighbours(df, 3, centres=6)) == found(retrieval.neighbours(df, 3))
