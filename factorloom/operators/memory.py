@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import IDF, HashingTF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorloom.operators.retrieval import cosine, in_blocks
+from factorloom.operators.vector_index import BLOCK, GROUP, GROUPS, _by_length
 
 #: Limits between the labels of each regime.
 VOLATILITY, INDEX, RATE, MATCHING, TREND = (0.15, 0.25), (15.0, 25.0), (2.0, 3.5), (0.3, 0.6), (0.98, 1.02)
+#: Queries that meet a group of stored factors in one task, and those that are compared with it at once.
+QUERIES, TILE = 4096, 64
 STATE = ("volatility", "liquidity", "trend", "correlation")
 #: Weight of what is new when a stored factor's figures are updated.
 NEW = 0.3
@@ -64,19 +71,73 @@ def state_match(a: str, b: str) -> Column:
     return sum(F.when(F.col(f"{a}.{c}") == F.col(f"{b}.{c}"), 1.0).otherwise(0.0) for c in STATE) / len(STATE)
 
 
+def _whole(x: str) -> Column:
+    """A vector as doubles; null where an entry is null."""
+    return F.when(~F.exists(x, lambda v: v.isNull()), F.col(x).cast("array<double>")).alias(x)
+
+
+def _states(held: pa.ChunkedArray, names: dict[tuple[str, str], int]) -> np.ndarray:
+    """The labels of states as numbers, one row each; an unknown label is -1."""
+    known = [r or {} for r in held.to_pylist()]
+    return np.array([[-1 if r.get(c) is None else names.setdefault((c, r[c]), len(names)) for c in STATE] for r in known])
+
+
+def _best_scores(q: pa.Table, m: pa.Table, k: int, state_weight: float) -> Iterator[pa.Table]:
+    """query_id, factor_id, score: the k best factors of m, which lies by factor_id, for each query of q. Unknown scores come last."""
+    vectors = {size: (rows, x) for size, rows, x in _by_length(m["embedding"].combine_chunks())}
+    names: dict[tuple[str, str], int] = {}
+    state, now = _states(m["market_state"], names), _states(q["now"], names)
+    good = m["quality"].combine_chunks()
+    unknown, weight = good.is_null().to_numpy(zero_copy_only=False), good.fill_null(0.0).to_numpy(zero_copy_only=False)
+    for size, rows, u in _by_length(q["query"].combine_chunks()):
+        for a in range(0, len(rows), TILE):
+            some, part = rows[a : a + TILE], u[a : a + TILE]
+            like = np.zeros((len(some), len(m)))
+            if size > 0 and size in vectors:
+                of, x = vectors[size]
+                norms = np.sqrt((part * part).sum(axis=1))[:, None] * np.sqrt((x * x).sum(axis=1))
+                like[:, of] = np.divide(part @ x.T, norms, out=np.zeros_like(norms), where=norms != 0)
+            match = sum((now[some, c][:, None] == state[:, c]) & (now[some, c] >= 0)[:, None] for c in range(len(STATE))) / len(STATE)
+            score = np.round(((1 - state_weight) * like + state_weight * match) * weight, 9)
+            rank = np.where(unknown, -math.inf, np.where(np.isnan(score), math.inf, score))
+            edge = np.partition(rank, -k, axis=1)[:, -k] if len(m) > k else np.full(len(some), -math.inf)
+            i, j = np.nonzero(rank >= edge[:, None])
+            order = np.lexsort((j, -rank[i, j], i))
+            i, j = i[order], j[order]
+            first = np.arange(len(i)) - np.searchsorted(i, i) < k
+            i, j = i[first], j[first]
+            yield pa.table({"query_id": q["query_id"].take(pa.array(some[i])), "factor_id": m["factor_id"].take(pa.array(j)), "score": pa.array(score[i, j], mask=unknown[j])})
+
+
 def retrieve(memory: DataFrame, queries: DataFrame, k: int = 5, state_weight: float = 0.3, least_ic: float = 0.02) -> DataFrame:
     """query_id, factor_id, score, place: for each query (query_id, query, now) the k stored factors of the largest score, ties by factor_id.
 
     The score is the likeness of embeddings and of market states, mixed, times the
     quality. Only factors whose IC (that of validation where there is one) is at
-    least `least_ic` count; all do where none is.
+    least `least_ic` count; all do where none is. Factors are dealt into groups; every
+    task compares some queries with one group, and of its best k only the best k stay.
     """
     effective = F.when(F.col("has_val") & F.col("val_ic").isNotNull() & ~F.isnan("val_ic"), F.col("val_ic")).otherwise(F.col("ic"))
     good = memory.filter(effective >= least_ic)
-    pool = (memory if good.isEmpty() else good).select("factor_id", "embedding", "market_state", quality().alias("quality"))
-    like = F.coalesce(cosine(F.col("embedding"), F.col("query")), F.lit(0.0))
-    score = ((1 - state_weight) * like + state_weight * state_match("now", "market_state")) * F.col("quality")
-    scored = in_blocks(queries, "query_id", lambda some: pool.join(some).select("query_id", "factor_id", F.round(score, 9).alias("score")))
+    pool = (memory if good.isEmpty() else good).select("factor_id", _whole("embedding"), "market_state", quality().alias("quality"))
+    asked = queries.select("query_id", _whole("query"), "now")
+    n, parts = pool.count(), max(1, math.ceil(queries.count() / QUERIES))
+    groups = max(1, math.ceil(n / GROUP), min(GROUPS, math.ceil(n / BLOCK)))
+    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.withColumn("part", dealt("query_id", parts)).withColumn("group", every(groups)).groupBy("part", "group")
+    right = pool.withColumn("group", dealt("factor_id", groups)).withColumn("part", every(parts)).groupBy("part", "group")
+
+    def best(q: pa.Table, m: pa.Table) -> pa.Table:
+        some = [*_best_scores(q, m.sort_by("factor_id"), k, state_weight)] if len(q) and len(m) else []
+        return pa.concat_tables([none(q, m), *some])
+
+    def none(q: pa.Table, m: pa.Table) -> pa.Table:
+        return pa.table({"query_id": q["query_id"].slice(0, 0), "factor_id": m["factor_id"].slice(0, 0), "score": pa.array([], pa.float64())})
+
+    kinds = {c: t.schema[c].dataType for t, c in ((queries, "query_id"), (memory, "factor_id"))}
+    schema = ", ".join(f"{c} {t.simpleString()}" for c, t in kinds.items()) + ", score double"
+    scored = left.cogroup(right).applyInArrow(best, schema)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "factor_id"))
     return scored.withColumn("place", place).filter(F.col("place") <= k)
 

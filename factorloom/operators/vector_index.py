@@ -138,12 +138,12 @@ class VectorIndex:
 
 
 def _by_length(vectors: pa.ListArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Each length of vectors, the rows that have it and their matrix."""
-    sizes = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
+    """Each length of vectors, the rows that have it and their matrix; -1 and no columns for null."""
+    sizes = pc.list_value_length(vectors).fill_null(-1).to_numpy(zero_copy_only=False)
     for size in np.unique(sizes).tolist():
         rows = np.flatnonzero(sizes == size)
         own = vectors if len(rows) == len(sizes) else vectors.take(pa.array(rows))
-        yield size, rows, own.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), size)
+        yield size, rows, own.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), max(size, 0))
 
 
 def _bounds(centres: dict[int, np.ndarray], first: dict[int, int], cells: dict[int, tuple]) -> Callable[[np.ndarray], tuple[np.ndarray, list[int]]]:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factorloom.functions import alphas, core, formulas
-from factorloom.operators import features, learned, memory, portfolio, selection
+from factorloom.operators import features, learned, memory, portfolio, retrieval, selection
 from factorloom.plans import library, oracles
 from factorloom.sources import files, panels
 from tests.test_queries import SF, duck, spark  # noqa: F401
@@ -264,3 +264,20 @@ def test_other_queries_have_sound_figures(spark, name):  # noqa: F811
 def test_query_equals_sql_in_steps(spark, duck, name):  # noqa: F811
     got, want = ordered(oracles.QUERIES[name](spark, SF).toPandas()), ordered(duck.sql(oracles.ORACLE_SQL[name]).df())
     pd.testing.assert_frame_equal(got, want, check_dtype=False, rtol=1e-8, atol=2e-6)
+
+
+def test_memory_scores_meet_group_by_group(spark, monkeypatch):  # noqa: F811
+    """Queries of any number are one step of the plan, and groups and tiles change no row."""
+    held = library._memory(spark, "/root/testdata/sf0.001")
+    odd = held.withColumn("embedding", F.expr("CASE vec_id % 7 WHEN 0 THEN NULL WHEN 1 THEN slice(embedding, 1, 3) WHEN 2 THEN transform(embedding, x -> 0f) ELSE embedding END"))
+    odd = odd.withColumn("win_rate", F.expr("CASE WHEN vec_id % 11 = 0 THEN NULL ELSE win_rate END")).withColumn("market_state", F.expr("CASE WHEN vec_id % 5 > 0 THEN market_state END"))
+    asked = odd.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.col("market_state").alias("now"))
+    like = F.coalesce(retrieval.cosine(F.col("embedding"), F.col("query")), F.lit(0.0))
+    score = F.round((0.7 * like + 0.3 * memory.state_match("now", "market_state")) * memory.quality(), 6)
+    every = odd.filter("CASE WHEN has_val THEN val_ic ELSE ic END >= 0.02").crossJoin(asked).select("query_id", "factor_id", score.alias("score"))
+    want = {(r.query_id, r.place): r.score for r in every.withColumn("place", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY score DESC, factor_id)")).filter("place <= 5").collect()}
+    for name, value in (("BLOCK", 40), ("QUERIES", 90), ("TILE", 7)):
+        monkeypatch.setattr(memory, name, value)
+    found = memory.retrieve(odd, asked)
+    assert "Union" not in found._jdf.queryExecution().analyzed().toString()
+    assert {(r.query_id, r.place): round(r.score, 6) for r in found.collect()} == pytest.approx(want, abs=2e-6)
