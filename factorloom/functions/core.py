@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 Value = Column | str
@@ -232,6 +232,51 @@ def ewm_recursive(x: Value, alpha: float, weaken: bool = True) -> Column:
     return F.when(F.coalesce(last, known).isNotNull(), mean)
 
 
+def with_ewm_adjusted(df: DataFrame, means: dict[str, tuple[str, float]]) -> DataFrame:
+    """The table with columns of ewm_adjusted(column, alpha) by name, step by step, so that no window is made twice; means of similar alphas share one sort."""
+    df = df if "_i" in df.columns else df.withColumn("_i", _row())
+    sizes = {n: max(int(-_FALL / math.log(1 - a)), 1) for n, (_, a) in means.items() if a < 1}
+    df = df.withColumns({n: _last_known(F.col(x)) for n, (x, a) in means.items() if a >= 1})
+    while sizes:
+        size = min(sizes.values())
+        now = [n for n in sizes if sizes[n] <= 4 * size]  # their weights fall by a quarter of _FALL within a block at least
+        sizes = {n: v for n, v in sizes.items() if n not in now}
+        df = df.withColumn("_b", F.floor(F.col("_i") / size))
+        inside = Window.partitionBy("instrument", "_b").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+        before = Window.partitionBy("instrument").orderBy("_b").rangeBetween(-1, -1)
+        past = Window.partitionBy("instrument").orderBy("_b", "date").rowsBetween(Window.unboundedPreceding, 0)
+        keep = {n: 1 - means[n][1] for n in now}
+        grown = {n: F.pow(F.lit(1 / keep[n]), F.col("_i") - F.col("_b") * size) for n in now}
+        cells = {f"_{k}_{n}": (n, x) for n in now for k, x in (("v", F.col(means[n][0]).cast("double")), ("w", F.col(means[n][0]).isNotNull().cast("double")))}
+        df = df.withColumns({c: x * grown[n] for c, (n, x) in cells.items()}).withColumns({c: F.sum(c).over(inside) for c in cells})
+        df = df.withColumns({c: F.coalesce(c, F.lit(0.0)) / grown[n] for c, (n, _) in cells.items()}).withColumns({f"{c}_old": F.max_by(c, "date").over(before) for c in cells})
+        total = lambda c, n: F.col(c) + F.coalesce(f"{c}_old", F.lit(0.0)) * keep[n] / grown[n]
+        df = df.withColumns({n: F.try_divide(total(f"_v_{n}", n), total(f"_w_{n}", n)) for n in now}).drop(*cells, *[f"{c}_old" for c in cells])
+        df = df.withColumns({n: F.last(n, ignorenulls=True).over(past) for n in now}).drop("_b")
+    return df
+
+
+def with_ewm_recursive(df: DataFrame, name: str, x: str, alpha: float, weaken: bool = True) -> DataFrame:
+    """The table with the column ewm_recursive(x, alpha), step by step, so that no window is made twice."""
+    df = df if "_i" in df.columns else df.withColumn("_i", _row())
+    keep, cell = 1 - alpha, F.col(x).cast("double")
+    if keep <= 0:
+        return df.withColumn(name, _last_known(cell))
+    by_date = Window.partitionBy("instrument").orderBy("date")
+    known = F.when(cell.isNotNull(), F.col("_i"))
+    df = df.withColumn("_last", F.max(known).over(by_date.rowsBetween(Window.unboundedPreceding, -1)))
+    old = F.pow(F.lit(keep), F.col("_i") - F.col("_last") if weaken else F.lit(1))
+    df = df.withColumn("_share", F.when(cell.isNull() | F.col("_last").isNull(), 1.0).otherwise(F.greatest(old / (old + alpha), F.lit(1e-150))))
+    df = df.withColumn("_added", F.when(cell.isNotNull(), F.when(F.col("_last").isNull(), cell).otherwise((1 - F.col("_share")) * cell)))
+    df = df.withColumn("_fall", -F.sum(F.ln("_share")).over(by_date.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_b", F.floor(F.col("_fall") / (_FALL / 4)))
+    inside = Window.partitionBy("instrument", "_b").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("_fallen", F.product("_share").over(inside)).withColumn("_part", F.col("_added") / F.col("_fallen"))
+    df = df.withColumn("_own", F.sum("_part").over(inside)).withColumn("_own", F.coalesce("_own", F.lit(0.0)) * F.col("_fallen"))
+    df = df.withColumn("_carried", F.max_by("_own", "date").over(Window.partitionBy("instrument").orderBy("_b").rangeBetween(Window.unboundedPreceding, -1)))
+    mean = F.col("_own") + F.coalesce("_carried", F.lit(0.0)) * F.col("_fallen")
+    return df.withColumn(name, F.when(F.coalesce("_last", known).isNotNull(), mean)).drop("_last", "_share", "_added", "_fall", "_b", "_fallen", "_part", "_own", "_carried")
+
+
 def ts_decay(x: Value, n: int) -> Column:
     """Exponential mean of span n without adjustment; a gap weakens what came before it."""
     past = Window.partitionBy("instrument").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)

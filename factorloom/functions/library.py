@@ -247,8 +247,17 @@ def DIVIDE(x: Value, y: Value) -> Column:
 
 def RSI(x: Value, n: int = 14) -> Column:
     """100 less 100 over 1 and the ratio of mean rises to mean falls; 100 where nothing fell."""
-    change = core.ts_delta(x, 1)
-    up, down = EMA(F.when(change > 0, change).when(change.isNotNull(), 0.0), n), EMA(F.when(change < 0, -change).when(change.isNotNull(), 0.0), n)
+    up, down = (EMA(c, n) for c in moves(core.ts_delta(x, 1)))
+    return strength(up, down)
+
+
+def moves(change: Column) -> tuple[Column, Column]:
+    """Rises and falls; null where the change is."""
+    return F.when(change > 0, change).when(change.isNotNull(), 0.0), F.when(change < 0, -change).when(change.isNotNull(), 0.0)
+
+
+def strength(up: Column, down: Column) -> Column:
+    """RSI by the means of rises and falls."""
     return F.when((down == 0) & (up > 0), 100.0).otherwise(100 - 100 / (1 + F.try_divide(up, down)))
 
 

@@ -107,6 +107,11 @@ def ema(x: Value, n: int) -> Column:
 
 def atr(n: int = 14) -> Column:
     """Exponential mean of the largest of high - low, high - last close, low - last close, without absolute values; an unknown gap counts as 0, an unknown range as no cell."""
+    return ema(widest(), n)
+
+
+def widest() -> Column:
+    """The range of atr()."""
     gap = lambda x: F.coalesce(F.col(x) - core.delay("close", 1), F.lit(0.0))
     span = F.col("high") - F.col("low")
-    return ema(F.when(span.isNotNull(), F.greatest(span, gap("high"), gap("low"))), n)
+    return F.when(span.isNotNull(), F.greatest(span, gap("high"), gap("low")))

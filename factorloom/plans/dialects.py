@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factorloom.functions import core, expression, library, numeric, sampled, ticker
 from factorloom.plans.queries import _O, _RANK, _columns, _gate, _w
+from factorloom.sources import panels
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -89,14 +91,28 @@ def _register() -> None:
         "prod": (lambda: library.PROD("close", "volume"), "close * volume"), "kept": (lambda: library.FILTER("close", F.col("close") > F.col("open")), "close * CASE WHEN close > open THEN 1 WHEN close <= open THEN 0 END"), "inv": (lambda: library.INV("volume"), "1 / nullif(volume, 0)"),
         "middle": (lambda: library.BB_MIDDLE("volume", 5), f"avg(volume) OVER {_W}"), "dynamic": (lambda: library.BB_MIDDLE(F.coalesce("volume", F.lit(0.0)), F.lit(3)), f"avg(coalesce(volume, 0)) OVER {_w(3)}"),
     })
-    # The SQL of moments and recursions is in oracles.
+    # The SQL of moments is in oracles, as is that of recursions.
     for name, columns in {
         "d3_moments": {"skew": lambda: expression.ts_skew("volume", 6), "kurt": lambda: expression.ts_kurt("volume", 6), "mad": lambda: numeric.ts_mad("volume", 5), "floored_corr": lambda: numeric.ts_corr("open", "volume", 5), "floored_ir": lambda: numeric.ts_ir("volume", 5)},
         "d4_moments": {"skew": lambda: sampled.Skew("volume", 8), "kurt": lambda: sampled.Kurt("volume", 8), "mad": lambda: sampled.Mad("volume", 8)},
-        "d2_recursions": {"rsi": lambda: library.RSI("close"), "sma": lambda: library.SMA("close", 6, 2.0), "atr": lambda: ticker.atr()},
     }.items():
         _add(name, {k: (x, "0") for k, x in columns.items()})
         del ORACLE_SQL[name]
 
 
+def recursions(dense: DataFrame) -> DataFrame:
+    """library.RSI("close"), library.SMA("close", 6, 2.0) and ticker.atr() of a dense panel, whose windows are made once and share three sorts."""
+    up, down = library.moves(F.col("_change"))
+    cells = dense.withColumns({"_i": core._row(), "_change": core.ts_delta("close", 1), "_span": ticker.widest()}).withColumns({"_up": up, "_down": down})
+    cells = core.with_ewm_recursive(cells, "atr", "_span", 2 / 15)
+    cells = core.with_ewm_adjusted(cells, {"_rise": ("_up", 2 / 15), "_fall": ("_down", 2 / 15), "sma": ("close", 2.0 / 6)})
+    return cells.withColumn("rsi", library.strength(F.col("_rise"), F.col("_fall"))).select("date", "instrument", "rsi", "sma", "atr")
+
+
+def d2_recursions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = recursions(panels.densify(panels.supplier_panel(spark, sf_dir)))
+    return cells.select("date", "instrument", *[F.round(c, 6).alias(c) for c in ("rsi", "sma", "atr")])
+
+
 _register()
+QUERIES["d2_recursions"] = d2_recursions

@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from factorloom.functions import core, library, ticker
 from factorloom.operators import fusion, portfolio
 from factorloom.operators import reports as r
 from factorloom.plans import dialects, queries, reports
@@ -170,3 +171,17 @@ def test_every_row_gets_neighbours(spark):
     got = {tuple(r) for r in queries.memory_neighbours(spark, path).collect()}
     assert len(got) == 5 * spark.read.parquet(f"{path}/embeddings.parquet").count()
     assert {r for r in got if r[0] < 5} == {tuple(r) for r in queries.memory_nearest(spark, path).collect()}
+
+
+def test_recursions_make_each_window_once(spark, monkeypatch):  # noqa: F811
+    plan = ALL["d2_recursions"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [") <= 10 and plan.count("row_number()") <= 2
+    monkeypatch.setattr(core, "_FALL", 160.0)  # several blocks of rows
+    rng = np.random.default_rng(5)
+    close = np.where(rng.random(1300) < 0.15, None, (rng.random(1300) * 100).round(2))
+    rows = [(dt.date(2000, 1, 1) + dt.timedelta(days=i), name, c and c + 1.5, c and c - 1.0, c) for name, shift in (("a", 0), ("b", 7)) for i, c in enumerate(np.roll(close, shift).tolist())]
+    dense = spark.createDataFrame(rows, "date date, instrument string, high double, low double, close double")
+    got = {(r.date, r.instrument): r for r in dialects.recursions(dense).collect()}
+    for r in dense.select("date", "instrument", library.RSI("close").alias("rsi"), library.SMA("close", 6, 2.0).alias("sma"), ticker.atr().alias("atr")).collect():
+        for c in ("rsi", "sma", "atr"):
+            assert got[r.date, r.instrument][c] == (None if r[c] is None else pytest.approx(r[c], rel=1e-9, abs=1e-9))
