@@ -271,7 +271,7 @@ def test_memory_scores_meet_group_by_group(spark, monkeypatch):  # noqa: F811
     held = library._memory(spark, "/root/testdata/sf0.001")
     odd = held.withColumn("embedding", F.expr("CASE vec_id % 7 WHEN 0 THEN NULL WHEN 1 THEN slice(embedding, 1, 3) WHEN 2 THEN transform(embedding, x -> 0f) ELSE embedding END"))
     odd = odd.withColumn("win_rate", F.expr("CASE WHEN vec_id % 11 = 0 THEN NULL ELSE win_rate END")).withColumn("market_state", F.expr("CASE WHEN vec_id % 5 > 0 THEN market_state END"))
-    asked = odd.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.col("market_state").alias("now"))
+    asked = odd.select(F.explode(F.array("vec_id", F.col("vec_id") + 1000)).alias("query_id"), F.col("embedding").alias("query"), F.col("market_state").alias("now"))
     like = F.coalesce(retrieval.cosine(F.col("embedding"), F.col("query")), F.lit(0.0))
     score = F.round((0.7 * like + 0.3 * memory.state_match("now", "market_state")) * memory.quality(), 6)
     every = odd.filter("CASE WHEN has_val THEN val_ic ELSE ic END >= 0.02").crossJoin(asked).select("query_id", "factor_id", score.alias("score"))
